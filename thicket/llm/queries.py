@@ -17,6 +17,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))[0]
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm.token_counts import count_tokens
 
@@ -30,8 +36,10 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_counts, op8_byte_level_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op6_token_counts, op8_byte_level_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from thicket.llm import sql
+
+    return sql.oracle_sql()
