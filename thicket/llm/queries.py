@@ -23,6 +23,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))[0]
 
 
+def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.warc import audit_pages
+
+    found, _ = audit_pages(_table(spark, sf_dir, "pages"))
+    return found.withColumnRenamed("record", "page_id")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm.token_counts import count_tokens
 
@@ -35,8 +42,14 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.sharding import shard_documents
+
+    return shard_documents(_table(spark, sf_dir, "documents"))[0]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op6_token_counts, op8_byte_level_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_merkle_fixity, op6_token_counts, op8_byte_level_bpe, op9_hilbert_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
