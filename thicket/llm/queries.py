@@ -48,8 +48,14 @@ def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))[0]
 
 
+def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))[0]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_merkle_fixity, op6_token_counts, op8_byte_level_bpe, op9_hilbert_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op2_merkle_fixity, op6_token_counts, op8_byte_level_bpe, op9_hilbert_sharding, op10_prob_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,9 +27,9 @@ def merkle_fixity() -> str:
     return """
 WITH r AS (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
     || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS a FROM pages),
-o AS (SELECT page_id, a, CAST(strlen(a) AS BIGINT) AS length, CAST(sum(strlen(a)) OVER (ORDER BY page_id) - strlen(a) AS BIGINT) AS at, coalesce(page_id, 0) AS lot FROM r),
+o AS (SELECT page_id, a, CAST(strlen(a) AS BIGINT) AS length, CAST(sum(strlen(a)) OVER (ORDER BY page_id) - strlen(a) AS BIGINT) AS place, coalesce(page_id, 0) AS lot FROM r),
 b AS (SELECT *, CASE WHEN lot % 103 = 2 THEN NULL WHEN lot % 101 = 1 THEN substring(a, 1, 40) WHEN lot % 97 = 0 THEN 'w' || substring(a, 2) ELSE a END AS b FROM o)
-SELECT at // 67108864 AS archive, at % 67108864 AS "offset", length, page_id, sha256(a) AS expected, sha256(b) AS found,
+SELECT place // 67108864 AS archive, place % 67108864 AS "offset", length, page_id, sha256(a) AS expected, sha256(b) AS found,
        CASE WHEN b IS NULL THEN 'missing' ELSE 'altered' END AS status
 FROM b WHERE b IS DISTINCT FROM a
 """
