@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from thicket.llm.shared import ship
+
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -3,16 +3,35 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_shipped: set[str] = set()
 _own: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the Python workers, once an application: theirs may lack its path."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = Path(__file__).resolve().parent.parent
+    at = tempfile.mkdtemp(prefix="modules-")
+    atexit.register(shutil.rmtree, at, True)
+    file = Path(at) / f"{package.name}-modules.zip"
+    with zipfile.ZipFile(file, "w") as out:
+        for module in sorted(package.rglob("*.py")):
+            out.write(module, module.relative_to(package.parent))
+    context.addPyFile(str(file))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a temporary one only where that is unset (tests)."""
     context = spark.sparkContext
