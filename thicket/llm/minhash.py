@@ -13,8 +13,6 @@ group, and only members of a bucket that are still in different components are p
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,38 +29,10 @@ STAR_ROUNDS = 2
 MOST_BROADCAST = 500_000
 
 
-@lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point whether it belongs to words (letters, numbers, marks), and its lower case."""
-    import regex
-
-    word, lower = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-    for m in regex.finditer(r"[\p{L}\p{N}\p{M}]+", every):
-        word[ord(every[m.start()]) : ord(every[m.end() - 1]) + 1] = True
-    word[0xD800:0xE000] = False
-    for m in regex.finditer(r"\p{Lu}|\p{Lt}", every):
-        if len(low := m[0].lower()) == 1:
-            lower[ord(m[0])] = ord(low)
-    return word, lower
-
-
 def word_hashes(chunk: K.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of a chunk's lower-cased words, and each document's first and end index in them."""
-    word, lower = _tables()
-    points = lower[chunk.points]
-    inside = word[points]
-    edge = np.zeros(len(points) + 1, bool)
-    edge[0], edge[-1] = True, True
-    edge[1:-1] = inside[1:] != inside[:-1]
-    edge[chunk.starts] = True
-    cuts = np.flatnonzero(edge)
-    starts, ends = cuts[:-1], cuts[1:]
-    if len(starts):
-        keep = inside[starts]
-        starts, ends = starts[keep], ends[keep]
-    hashes = K.hash_spans(points, starts, ends)
-    return hashes, np.searchsorted(starts, chunk.starts), np.searchsorted(starts, chunk.ends)
+    points, starts, ends = K.words(chunk)
+    return K.hash_spans(points, starts, ends), np.searchsorted(starts, chunk.starts), np.searchsorted(starts, chunk.ends)
 
 
 def shingles(words: np.ndarray, first: np.ndarray, end: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

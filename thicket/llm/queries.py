@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,15 @@ def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("record", "page_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm import toxicity as T
+
+    documents = _table(spark, sf_dir, "documents")
+    model = T.train(documents, _table(spark, sf_dir, "labels"))
+    scored = T.score_documents(documents.select("doc_id", T.fold().alias("held_out"), "text"), model).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= T.THRESHOLD).cast("int"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm.token_counts import count_tokens
 
@@ -58,7 +68,7 @@ def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_merkle_fixity, op6_token_counts, op8_byte_level_bpe, op9_hilbert_sharding, op10_prob_minhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_merkle_fixity, op5_toxicity, op6_token_counts, op8_byte_level_bpe, op9_hilbert_sharding, op10_prob_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

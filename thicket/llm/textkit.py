@@ -130,6 +130,39 @@ def pretokens(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
+@lru_cache(maxsize=1)
+def word_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point whether it belongs to words (letters, numbers, marks), and its lower case."""
+    import regex
+
+    word, lower = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    for m in regex.finditer(r"[\p{L}\p{N}\p{M}]+", every):
+        word[ord(every[m.start()]) : ord(every[m.end() - 1]) + 1] = True
+    word[0xD800:0xE000] = False
+    for m in regex.finditer(r"\p{Lu}|\p{Lt}", every):
+        if len(low := m[0].lower()) == 1:
+            lower[ord(m[0])] = ord(low)
+    return word, lower
+
+
+def words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's lower-cased code points, and start and end of each word in them."""
+    word, lower = word_tables()
+    points = lower[chunk.points]
+    inside = word[points]
+    edge = np.zeros(len(points) + 1, bool)
+    edge[0], edge[-1] = True, True
+    edge[1:-1] = inside[1:] != inside[:-1]
+    edge[chunk.starts] = True
+    cuts = np.flatnonzero(edge)
+    starts, ends = cuts[:-1], cuts[1:]
+    if not len(starts):
+        return points, starts, ends
+    keep = inside[starts]
+    return points, starts[keep], ends[keep]
+
+
 class SlotCache:
     """A bounded map from 64-bit hashes to one integer each: direct-mapped, later entries replace earlier."""
 
