@@ -49,6 +49,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op7_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.embeddings import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))[0]
+
+
 def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm.bpe import round_trip
 
@@ -68,7 +74,7 @@ def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_merkle_fixity, op5_toxicity, op6_token_counts, op8_byte_level_bpe, op9_hilbert_sharding, op10_prob_minhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_merkle_fixity, op5_toxicity, op6_token_counts, op7_sorted_projections, op8_byte_level_bpe, op9_hilbert_sharding, op10_prob_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

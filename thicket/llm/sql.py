@@ -35,5 +35,18 @@ FROM b WHERE b IS DISTINCT FROM a
 """
 
 
+def sorted_projections() -> str:
+    return """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a)
+SELECT v.vec_id, CAST((SELECT count(*) FROM l WHERE l.a = v.vec_id) AS BIGINT) AS n_links,
+       coalesce(c.component, v.vec_id) AS component_id, coalesce(c.component, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN (SELECT node, min(seen) AS component FROM r GROUP BY node) c ON c.node = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination(), "op2_merkle_fixity": merkle_fixity()}
+    return {"op1_decontamination": decontamination(), "op2_merkle_fixity": merkle_fixity(), "op7_sorted_projections": sorted_projections()}
