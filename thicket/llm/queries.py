@@ -34,6 +34,13 @@ def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("record", "page_id")
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm import kneser_ney as N
+
+    documents = _table(spark, sf_dir, "documents").select("doc_id", N.held_out().alias("held_out"), "text")
+    return N.score(documents, N.train(documents.where("not held_out")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm import toxicity as T
 
@@ -74,7 +81,7 @@ def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_merkle_fixity, op5_toxicity, op6_token_counts, op7_sorted_projections, op8_byte_level_bpe, op9_hilbert_sharding, op10_prob_minhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_merkle_fixity, op3_kneser_ney, op5_toxicity, op6_token_counts, op7_sorted_projections, op8_byte_level_bpe, op9_hilbert_sharding, op10_prob_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
