@@ -41,6 +41,12 @@ def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.score(documents, N.train(documents.where("not held_out")))
 
 
+def op4_context_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.llm.idcoder import stored_documents
+
+    return stored_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("byte_bpe_50k.json"))[0]
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm import toxicity as T
 
@@ -81,7 +87,7 @@ def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_merkle_fixity, op3_kneser_ney, op5_toxicity, op6_token_counts, op7_sorted_projections, op8_byte_level_bpe, op9_hilbert_sharding, op10_prob_minhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_merkle_fixity, op3_kneser_ney, op4_context_mixing_coder, op5_toxicity, op6_token_counts, op7_sorted_projections, op8_byte_level_bpe, op9_hilbert_sharding, op10_prob_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
