@@ -258,10 +258,11 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return docs.select(*keep, F.col(ids).alias("_ids")).mapInArrow(run, schema + "decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
     """All columns but the text, with ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by a blank)
-    and ``decoded_sha256`` (of the bytes that the ids decode to). Cases as in encode_documents."""
-    out = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    and ``decoded_sha256`` (of the bytes that the ids decode to); ``ids`` too if asked for. Cases as in
+    encode_documents."""
+    out = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     keep, schema = _narrow(docs, text, out)
 
     def run(batches):
@@ -277,6 +278,10 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                     said.append(sha(b" ".join(map(codec.decimal.__getitem__, own))).hexdigest())
                     back.append(sha(codec.decode(own)).hexdigest())
                 part = batch.slice(chunk.lo, chunk.hi - chunk.lo)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(n.astype(np.int64)), pa.array(said, pa.string()), pa.array(back, pa.string())], [*keep, *out])
+                results = [pa.array(n.astype(np.int64)), pa.array(said, pa.string()), pa.array(back, pa.string())]
+                if with_ids:
+                    results.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *results], [*keep, *out])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema + "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema += "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)

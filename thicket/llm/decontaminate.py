@@ -164,4 +164,5 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Da
     no row with a null doc_id is hit."""
     found, _ = contamination(docs, benchmark, width)
     bad = found.where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
+    bad = _small(bad, bad.count())
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")

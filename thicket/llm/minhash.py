@@ -214,3 +214,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out = docs.select(doc_id).join(placed.dropDuplicates(["doc"]), F.col(doc_id) == F.col("doc"), "left")
     out = out.select(doc_id, F.coalesce("class_id", doc_id).alias("class_id"), F.coalesce("component_id", doc_id).alias("component_id"))
     return out.withColumn("kept", F.col(doc_id).eqNullSafe(F.col("component_id"))), [at_placed]
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` (all columns) but for near duplicates of a smaller doc_id; of rows that repeat a
+    doc_id one stays. Rows with a null doc_id stay."""
+    found, _ = near_duplicates(docs, doc_id, text, threshold)
+    gone = found.where("not kept").select(F.col(doc_id).alias("_gone")).distinct()
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    if docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty():
+        return left
+    return left.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionAll(left.where(F.col(doc_id).isNull()))
