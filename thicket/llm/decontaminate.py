@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from thicket.llm.shared import drop, written
+from thicket.llm.shared import drop, fresh, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words, before A-Z are lower-cased.
@@ -163,6 +163,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Da
     """The rows of ``docs`` (all columns) that hold no test window; rows with a null doc_id are kept if
     no row with a null doc_id is hit."""
     found, _ = contamination(docs, benchmark, width)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
+    hit = fresh(docs, "_hit")
+    bad = found.where("contaminated").select(F.col("doc_id").alias(hit)).distinct()
     bad = _small(bad, bad.count())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(hit)), "left_anti")

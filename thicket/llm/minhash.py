@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm import textkit as K
-from thicket.llm.shared import components, drop, written
+from thicket.llm.shared import components, drop, fresh, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 5 components; pairs must share 2 bands: at similarity 0.8 all but 1 in 20,000 do.
@@ -220,10 +220,11 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     """The rows of ``docs`` (all columns) but for near duplicates of a smaller doc_id; of rows that repeat a
     doc_id one stays. Rows with a null doc_id stay."""
     found, _ = near_duplicates(docs, doc_id, text, threshold)
-    gone = found.where("not kept").select(F.col(doc_id).alias("_gone")).distinct()
+    name = fresh(docs, "_gone")
+    gone = found.where("not kept").select(F.col(doc_id).alias(name)).distinct()
     if gone.count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)
-    left = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    left = docs.join(gone, F.col(doc_id) == F.col(name), "left_anti")
     if docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty():
         return left
     return left.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionAll(left.where(F.col(doc_id).isNull()))

@@ -77,6 +77,14 @@ def make_dirs(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows as a Parquet table in the shared folder, which cuts the lineage; and the folder."""
     path = folder(df.sparkSession, name)
