@@ -14,7 +14,7 @@ from thicket.llm import toxicity
 from thicket.llm.bpe import round_trip
 from thicket.llm.decontaminate import uncontaminated
 from thicket.llm.minhash import deduplicated
-from thicket.llm.shared import ship, written
+from thicket.llm.shared import fresh, ship, written
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -23,8 +23,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents whose score stays below their language's threshold."""
     ship(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score_documents(docs, model, out="_toxicity")
-    return scored.where(~toxicity.rejected(F.col("_toxicity"), F.col("lang"), model)).select(docs.columns)
+    score = fresh(docs, "_toxicity")
+    scored = toxicity.score_documents(docs, model, out=score)
+    return scored.where(~F.coalesce(toxicity.rejected(F.col(score), F.col("lang"), model), F.lit(False))).select(docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
