@@ -14,9 +14,9 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from thicket.llm import textkit as K
+from thicket.llm.shared import beside
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -220,18 +220,13 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def _narrow(docs: DataFrame, text: str, out: list[str]) -> tuple[list[str], str]:
-    keep = [c for c in docs.columns if c != text and c not in out]
-    return keep, "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-
-
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """All columns but the text, with ``ids`` (array of ints): tiktoken's ids for the rank file at ``path``.
 
     Null and empty texts give empty arrays, repeated rows repeated rows, an empty table an empty one. A
     column named ids is replaced.
     """
-    keep, schema = _narrow(docs, text, ["ids"])
+    rows, keep, schema = beside(docs, text, "string", ["ids"])
 
     def run(batches):
         codec = Codec.of(path)
@@ -242,12 +237,12 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists], [*keep, "ids"])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema + "ids array<int>")
+    return rows.mapInArrow(run, schema + "ids array<int>")
 
 
 def decode_documents(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """All columns but ``ids``, with ``decoded`` (binary): the bytes of the ids; null ids decode to nothing."""
-    keep, schema = _narrow(docs, ids, ["decoded"])
+    rows, keep, schema = beside(docs, ids, "array<int>", ["decoded"])
 
     def run(batches):
         codec = Codec.of(path)
@@ -255,7 +250,7 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             decoded = pa.array([codec.decode(x or ()) for x in batch.column(len(keep)).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], decoded], [*keep, "decoded"])
 
-    return docs.select(*keep, F.col(ids).alias("_ids")).mapInArrow(run, schema + "decoded binary")
+    return rows.mapInArrow(run, schema + "decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -263,7 +258,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", with_ids: bool =
     and ``decoded_sha256`` (of the bytes that the ids decode to); ``ids`` too if asked for. Cases as in
     encode_documents."""
     out = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
-    keep, schema = _narrow(docs, text, out)
+    rows, keep, schema = beside(docs, text, "string", out)
 
     def run(batches):
         codec = Codec.of(path)
@@ -284,4 +279,4 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", with_ids: bool =
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *results], [*keep, *out])
 
     schema += "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm import textkit as K
-from thicket.llm.shared import folder, make_dirs
+from thicket.llm.shared import beside, folder, make_dirs
 from thicket.llm.store import Store
 
 #: Distinct keys that a map task holds before it hands them on.
@@ -366,7 +366,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     model of no documents gives each token all of the base's probability. Result names replace columns.
     """
     out = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    keep = [c for c in docs.columns if c != text and c not in out]
+    rows, keep, schema = beside(docs, text, "string", out)
 
     def run(batches):
         for batch in batches:
@@ -384,5 +384,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 results = [pa.array(stop - begin), pa.array(np.add.reduceat(known, begin)), pa.array(np.full(n, model.tokens, np.int64)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(own, begin))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *results], [*keep, *out])
 
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema + "n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -85,6 +85,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def beside(df: DataFrame, column: str, kind: str, replaced: list[str]) -> tuple[DataFrame, list[str], str]:
+    """For a Python operator over one column: ``df`` with that column last, as ``kind``, and all others but
+    those ``replaced``; the others' names; and the beginning of the result's schema."""
+    keep = [c for c in df.columns if c != column and c not in replaced]
+    rows = df.select(*keep)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema)
+    return df.select(*keep, F.col(column).cast(kind).alias(fresh(rows, column))), keep, schema
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows as a Parquet table in the shared folder, which cuts the lineage; and the folder."""
     path = folder(df.sparkSession, name)

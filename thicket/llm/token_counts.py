@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from thicket.llm import textkit as K
+from thicket.llm.shared import beside
 
 
 class PieceLibrary:
@@ -117,7 +117,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 51
     named like the three results are replaced.
     """
     out = ["n_bytes", "n_tokens", "over_limit"]
-    keep = [c for c in docs.columns if c != text and c not in out]
+    rows, keep, schema = beside(docs, text, "string", out)
 
     def count(batches):
         counter = PieceCounter.of(path)
@@ -129,5 +129,4 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 51
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], size, pa.array(n), pa.array(n > limit)], [*keep, *out])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_bytes long, n_tokens long, over_limit boolean"])
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(count, schema)
+    return rows.mapInArrow(count, schema + "n_bytes long, n_tokens long, over_limit boolean")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm import textkit as K
+from thicket.llm.shared import beside, fresh
 
 BUCKETS, DIM, FILTERS, WIDTHS, BEGINNINGS = 1 << 16, 8, 8, (1, 2, 3), (3, 4, 5)
 #: Bounds of the sample that a model is fitted on: rows of each label, and characters of a text in it.
@@ -222,7 +223,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def score_documents(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """All columns of ``docs`` and the whole text's score in ``out`` (replaced if it is there). A null text
     counts as empty; empty texts have a score too. Rows stand each for itself; no rows give none."""
-    keep = [c for c in docs.columns if c != out]
+    again = fresh(docs, text)
+    rows, keep, schema = beside(docs.withColumn(again, F.col(text)), again, "string", [out])
 
     def run(batches):
         for batch in batches:
@@ -232,8 +234,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", out: str
                 scores[chunk.lo : chunk.hi] = model.score(chunk)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores)], [*keep, out])
 
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + f"`{out}` double"
-    return docs.select(*keep, F.col(text).cast("string").alias("_scored_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"{schema}`{out}` double")
 
 
 def rejected(score, language, model: Model):
