@@ -155,7 +155,8 @@ def test_toxicity_learns_and_scores(spark):
     held = [(r.score >= toxicity.THRESHOLD, toxic[r.doc_id]) for r in rows if r.doc_id < 600 and r.held_out]
     assert [r.held_out for r in rows] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(603)]
     assert sum(a == b for a, b in held) / len(held) > 0.97
-    assert all(0 <= r.score <= 1 for r in rows) and len({r.score for r in rows[-3:]}) == 1
+    assert all(0 <= r.score <= 1 for r in rows)
+    assert [r.score for r in rows[-3:]] == pytest.approx([rows[-1].score] * 3, abs=1e-6)
     again = toxicity.score_documents(docs.repartition(7), model).collect()
     assert {r.doc_id: r.score for r in again} == pytest.approx({r.doc_id: r.score for r in rows}, abs=1e-6)
 
