@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 U64_MAX = 18446744073709551615
 
@@ -28,7 +29,7 @@ def plain_key(name: Column) -> Column:
     return F.lower(trim_white(name))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfc(names: pd.Series) -> pd.Series:
     return names.str.normalize("NFC")
 
