@@ -43,38 +43,31 @@ class _Mixer:
     """A binary decision for each lane: three adaptive probabilities mixed in the logistic domain."""
 
     def __init__(self, lanes: int, sizes: tuple[int, int, int]):
-        self.tables = [np.full(lanes * n, 1 << 15, np.int64) for n in sizes]
-        self.offsets = [np.arange(lanes) * n for n in sizes]
-        self.weights = [np.full(lanes, 26000, np.int64) for _ in sizes]
+        self.table = np.full(lanes * sum(sizes), 1 << 15, np.int64)
+        begin = np.cumsum((0, *sizes[:-1])) * lanes
+        self.offsets = begin[:, None] + np.arange(lanes)[None, :] * np.array(sizes)[:, None]
+        self.weights = np.full((3, lanes), 26000, np.int64)
 
     def predict(self, contexts: tuple, a: int) -> np.ndarray:
-        self.at = [o[:a] + c for o, c in zip(self.offsets, contexts, strict=True)]
-        self.old = [t[i] for t, i in zip(self.tables, self.at, strict=True)]
-        self.stretched = [STRETCH[p >> 4] for p in self.old]
-        dot = self.weights[0][:a] * self.stretched[0]
-        dot += self.weights[1][:a] * self.stretched[1]
-        dot += self.weights[2][:a] * self.stretched[2]
-        dot >>= 16
-        self.p = SQUASH[np.clip(dot, -2047, 2047) + 2047]
+        self.at = self.offsets[:, :a] + contexts
+        self.old = self.table[self.at]
+        self.stretched = STRETCH[self.old >> 4]
+        dot = (self.weights[:, :a] * self.stretched).sum(axis=0) >> 16
+        self.p = SQUASH[np.minimum(np.maximum(dot, -2047), 2047) + 2047]
         return self.p
 
     def learn(self, bit: np.ndarray, a: int, where: np.ndarray | None = None) -> None:
-        error = (bit << 12) - self.p
-        target = bit * 65535
+        error, step = ((bit << 12) - self.p) * 6, (bit * 65535 - self.old) >> 4
         if where is not None:
             error *= where
-        error *= 6
-        for table, at, old, stretched, weight in zip(self.tables, self.at, self.old, self.stretched, self.weights, strict=True):
-            step = (target - old) >> 4
-            if where is not None:
-                step *= where
-            table[at] = old + step
-            weight[:a] += (stretched * error) >> 10
+            step *= where
+        self.table[self.at] = self.old + step
+        self.weights[:, :a] += (self.stretched * error) >> 10
 
 
 class _Frequencies:
-    """Rows of 256 adaptive frequencies; a row's cumulative table is rebuilt as its count doubles, and
-    every 256 counts."""
+    """Rows of 256 adaptive frequencies; a row's cumulative table is rebuilt at counts of 2, 8, 32 and
+    so on, and at every 512th."""
 
     def __init__(self, rows: int):
         self.counts = np.zeros((rows, 256), np.uint16)
@@ -100,11 +93,12 @@ class _Frequencies:
         """Rows are distinct."""
         self.counts[row, symbol] += 1
         self.totals[row] = total = self.totals[row] + 1
-        rows = row[((total & (total - 1)) == 0) | ((total & 255) == 0)]
+        rows = row[(((total & (total - 1)) == 0) & ((total & 0xAAAA) != 0)) | ((total & 511) == 0)]
         if len(rows):
-            weight = self.counts[rows].astype(np.int64) * 24 + 1
+            weight = self.counts[rows] * np.float64(24) + 1
             upto = np.cumsum(weight, axis=1)
-            self.cumulative[rows] = (upto - weight) * 65280 // upto[:, -1:] + np.arange(256)
+            # Whole numbers below 2**53 but for the factor, whose rounding is the same on any machine.
+            self.cumulative[rows] = ((upto - weight) * (65280.0 / upto[:, -1:])).astype(np.int64) + np.arange(256)
 
 
 def _run(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None, highs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,15 +114,16 @@ def _run(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None,
     if encode:
         out = np.zeros((lanes, 3 * steps + 8), np.int32)
     else:
-        out = np.zeros((lanes, steps), np.int64)
+        out = np.zeros((steps, lanes), np.int32)
         words = np.pad(words, ((0, 0), (0, 8)))
         code = words[:, 0] << 32 | words[:, 1] << 16 | words[:, 2]
         written += 3
     flat_words = None if encode else words.reshape(-1)
     width = 0 if encode else words.shape[1]
     row = np.arange(lanes)
-    t1, t2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
-    k1, k2 = np.zeros(lanes * SLOTS, np.int8), np.zeros(lanes * SLOTS, np.int8)
+    t1, t2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)  # id << 3 | confidence
+    if encode:
+        ids = np.ascontiguousarray(ids.T)
     two, one = _Mixer(lanes, (8, 16, 16)), _Mixer(lanes, (8, 8, 16))
     high_model, low_model = _Frequencies(lanes), _Frequencies(lanes * highs)
     prev1, prev2, past = (np.zeros(lanes, np.int64) for _ in range(3))
@@ -180,10 +175,10 @@ def _run(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None,
         p1, p2 = prev1[:a], prev2[:a]
         s1 = row[:a] * SLOTS + ((p1 * 40503 >> 3) & (SLOTS - 1))
         s2 = row[:a] * SLOTS + (((p2 * 48271 + p1 * 69621) >> 5) & (SLOTS - 1))
-        c1, c2 = t1[s1].astype(np.int64), t2[s2].astype(np.int64)
-        f1, f2 = k1[s1].astype(np.int64), k2[s2].astype(np.int64)
+        e1, e2 = t1[s1].astype(np.int64), t2[s2].astype(np.int64)
+        c1, c2, f1, f2 = e1 >> 3, e2 >> 3, e1 & 7, e2 & 7
         same = (c1 == c2).astype(np.int64)
-        truth = ids[:a, step] if encode else None
+        truth = ids[step, :a] if encode else None
         hit2 = bit(a, two.predict((f2, f1 * 2 + same, past[:a]), a), (truth == c2).astype(np.int64) if encode else None, None)
         two.learn(hit2, a)
         asked = (1 - hit2) * (1 - same)
@@ -197,10 +192,9 @@ def _run(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None,
             lower = byte(low_model, literal * highs + np.minimum(high, highs - 1), literal, own & 255 if encode else None, a)
             value[literal] = high << 8 | lower
         if not encode:
-            out[:a, step] = value
-        t1[s1], t2[s2] = value, value
-        k1[s1] = np.where(value == c1, np.minimum(f1 + 1, 7), 1)
-        k2[s2] = np.where(hit2, np.minimum(f2 + 1, 7), 1)
+            out[step, :a] = value
+        t1[s1] = value << 3 | np.where(value == c1, np.minimum(f1 + 1, 7), 1)
+        t2[s2] = value << 3 | np.where(hit2, np.minimum(f2 + 1, 7), 1)
         past[:a] = (past[:a] << 1 | hit2) & 15
         prev2[:a] = p1
         prev1[:a] = value
@@ -211,7 +205,8 @@ def _run(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None,
         while (over := out >> 16).any():
             out &= 0xFFFF
             out[:, :-1] += over[:, 1:]
-    return out, written
+        return out, written
+    return out.T, written
 
 
 def encode_blocks(ids: np.ndarray, highs: int) -> tuple[list[bytes], np.ndarray]:
