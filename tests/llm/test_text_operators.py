@@ -58,6 +58,11 @@ def test_token_counts(spark):
     assert token_counts.count_tokens(table(spark, []), JSON).collect() == []
 
 
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        token_counts.PieceLibrary(P.path("word_bpe_49k.json"))
+
+
 def test_perfect_hash():
     keys = K.mix64(np.arange(5000, dtype=np.uint64))
     slots = bpe.PerfectHash(keys).find(keys)

@@ -8,6 +8,7 @@ those not found there go through the tokenizer.
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -26,6 +27,11 @@ class PieceLibrary:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        split = rules.get("pre_tokenizer") or {}
+        if rules.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError(f"{path}: not a byte-level BPE whose pre-tokens are those of the usual pattern")
         self.plain = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.plain.get_added_tokens_decoder().items()}
         self.plain.encode_special_tokens = True
