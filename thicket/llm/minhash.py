@@ -25,6 +25,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 5 components; pairs must share 2 bands: at similarity 0.8 all but 1 in 20,000 do.
 BANDS, ROWS, SHARED = 32, 5, 2
 STAR_ROUNDS = 2
+#: Members of a bucket that are compared in one place at most, against as many.
+TILE = 512
 #: Document ids up to which a side is broadcast; beyond it Spark joins by a shuffle.
 MOST_BROADCAST = 500_000
 
@@ -132,19 +134,21 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc {kind}, copy_a long, copy_b long, bands array<long>")
 
 
+def vectors(column) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The sorted (shingle, weight) vector of each text."""
+    out = []
+    for chunk in K.chunks(column):
+        words, first, end = word_hashes(chunk)
+        doc, shingle, weight = shingles(words, first, end)
+        cuts = np.searchsorted(doc, np.arange(chunk.hi - chunk.lo + 1))
+        out += [(shingle[i:j], weight[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return out
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Those pairs (a, b) whose texts (doc, text) have the similarity or more, with ``similarity``."""
     kind = pairs.schema["a"].dataType.simpleString()
 
-    def vectors(column) -> list[tuple[np.ndarray, np.ndarray]]:
-        out = []
-        for chunk in K.chunks(column):
-            words, first, end = word_hashes(chunk)
-            doc, shingle, weight = shingles(words, first, end)
-            cuts = np.searchsorted(doc, np.arange(chunk.hi - chunk.lo + 1))
-            out += [(shingle[i:j], weight[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        return out
-
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -156,6 +160,70 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
+def bucket_links(rows: DataFrame, bands: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links (a, b) that join what of a bucket's members (band, hash, doc, component) is still apart.
+
+    A bucket over TILE is dealt into tiles, each pair of which is compared as a whole in one place; small
+    buckets share tasks. Of two members in different components that share SHARED bands or more, and this
+    one as their first, the texts are compared exactly; no row is made for a pair but a link that joins.
+    """
+    kind = rows.schema["doc"].dataType.simpleString()
+    sizes = rows.groupBy("band", "hash").agg(F.count("*").alias("n")).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    total = sizes.agg(F.sum(F.col("n") * F.col("tiles")).alias("n")).first()["n"] or 0
+    placed = rows.join(sizes, ["band", "hash"]).withColumn("tile", F.expr("cast(pmod(xxhash64(doc), tiles) as int)"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tasks = max(1, total // TILE)
+    dealt = dealt.select("band", "hash", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "doc", "component")
+    dealt = dealt.withColumn("task", F.expr(f"pmod(xxhash64(band, hash, i, j), {tasks})")).join(bands, "doc").join(texts, "doc")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("band", "hash", "i", "j", "tile")]).combine_chunks()
+        band, hash_, i, j, tile = (table.column(c).to_numpy() for c in ("band", "hash", "i", "j", "tile"))
+        ids, parts = table.column("doc").to_pylist(), table.column("component").to_pylist()
+        all_bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        known: dict = {}
+        a, b = [], []
+        new = (band[1:] != band[:-1]) | (hash_[1:] != hash_[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(ids)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            root: dict = {}
+
+            def find(x):
+                while root.setdefault(x, x) != x:  # noqa: B023
+                    root[x] = root[root[x]]  # noqa: B023
+                    x = root[x]  # noqa: B023
+                return x
+
+            own = all_bands[lo:hi]
+            shared = np.zeros((hi - lo, hi - lo), np.uint8)
+            first = np.ones((hi - lo, hi - lo), bool)
+            for k in range(BANDS):
+                same = own[:, k, None] == own[None, :, k]
+                shared += same
+                if k < band[lo]:
+                    first &= ~same
+            label = np.unique(np.array(parts[lo:hi]), return_inverse=True)[1]
+            wanted = np.triu((shared >= SHARED) & first & (label[:, None] != label[None, :]), 1)
+            if i[lo] < j[lo]:
+                wanted &= tile[lo:hi, None] != tile[None, lo:hi]
+            x, y = np.nonzero(wanted)
+            likely = np.argsort(-shared[x, y].astype(np.int64), kind="stable")  # the sooner parts join, the fewer texts are compared
+            for p, q in zip((x[likely] + lo).tolist(), (y[likely] + lo).tolist()):
+                if (r := find(parts[p])) == (t := find(parts[q])):
+                    continue
+                for z in (p, q):
+                    if ids[z] not in known:
+                        known[ids[z]] = vectors(table.column("text").slice(z, 1))[0]
+                if similarity(known[ids[p]], known[ids[q]]) >= threshold:
+                    root[r] = t
+                    a.append(ids[p])
+                    b.append(ids[q])
+        of = table.schema.field("doc").type
+        return pa.table([pa.array(a, of), pa.array(b, of)], names=["a", "b"])
+
+    return dealt.groupBy("task").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, list[str]]:
     """One row for each row of ``docs``: doc_id, class_id (smallest doc_id of the same words),
     component_id (smallest doc_id reachable by links) and kept (doc_id = component_id); and the folders in use.
@@ -182,16 +250,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links: DataFrame | None = None
     old: list[str] = []
     root, root_at = None, []
-    for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            hubs = rows.where("not was_hub").groupBy("band", "hash").agg(F.max_by("doc", F.struct("degree", "doc")).alias("hub"), F.count_distinct("component").alias("parts"))
-            hubs = hubs.join(rows.select("band", "hash", F.col("doc").alias("hub"), F.col("component").alias("hub_part")), ["band", "hash", "hub"]).select("band", "hash", "hub", "hub_part")
-            spoken, at_spoken = written(rows.join(hubs, ["band", "hash"]), "hubs")
-            pairs = spoken.where("component <> hub_part").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
-        else:
-            x = rows.select("band", "hash", F.col("doc").alias("a"), F.col("component").alias("part_a"))
-            y = rows.select("band", "hash", F.col("doc").alias("b"), F.col("component").alias("part_b"))
-            pairs = x.join(y, ["band", "hash"]).where("a < b and part_a <> part_b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
+    for _ in range(STAR_ROUNDS):
+        hubs = rows.where("not was_hub").groupBy("band", "hash").agg(F.max_by("doc", F.struct("degree", "doc")).alias("hub"))
+        hubs = hubs.join(rows.select("band", "hash", F.col("doc").alias("hub"), F.col("component").alias("hub_part")), ["band", "hash", "hub"]).select("band", "hash", "hub", "hub_part")
+        spoken, at_spoken = written(rows.join(hubs, ["band", "hash"]), "hubs")
+        pairs = spoken.where("component <> hub_part").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs, at_pairs = written(pairs, "pairs")
@@ -201,13 +264,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         links = found if links is None else links.unionAll(found)
         drop(spark, *root_at)
         root, root_at = components(links, "near")
-        if turn < STAR_ROUNDS:
-            part = root.withColumnRenamed("node", "doc").withColumnRenamed("component", "part")
-            fresh = spoken.drop("component", "hub_part").join(part, "doc", "left").select("band", "hash", "doc", "degree", F.coalesce("part", "doc").alias("component"), (F.col("was_hub") | (F.col("doc") == F.col("hub"))).alias("was_hub"))
-            open_ = fresh.groupBy("band", "hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "hash")
-            fresh, at_fresh = written(fresh.join(open_, ["band", "hash"], "left_semi"), "members")
-            drop(spark, at_rows, at_spoken)
-            rows, at_rows = fresh, at_fresh
+        part = root.withColumnRenamed("node", "doc").withColumnRenamed("component", "part")
+        again = spoken.drop("component", "hub_part").join(part, "doc", "left").select("band", "hash", "doc", "degree", F.coalesce("part", "doc").alias("component"), (F.col("was_hub") | (F.col("doc") == F.col("hub"))).alias("was_hub"))
+        open_ = again.groupBy("band", "hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "hash")
+        again, at_again = written(again.join(open_, ["band", "hash"], "left_semi"), "members")
+        drop(spark, at_rows, at_spoken)
+        rows, at_rows = again, at_again
+    found, at_found = written(bucket_links(rows, classes.select(F.col("class_id").alias("doc"), "bands"), texts, threshold), "links")
+    drop(spark, *root_at)
+    root, root_at = components(links.unionAll(found), "near")
+    old.append(at_found)
     whole = classes.select("copy_a", "copy_b", "class_id").join(root.withColumnRenamed("node", "class_id"), "class_id", "left").select("copy_a", "copy_b", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     placed, at_placed = written(drawn.select("doc", "copy_a", "copy_b").join(whole, ["copy_a", "copy_b"]).select("doc", "class_id", "component_id"), "placed")
     drop(spark, at_drawn, at_classes, at_rows, at_texts, *old, *root_at)
