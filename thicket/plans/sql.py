@@ -75,7 +75,7 @@ def oracle_sql() -> dict[str, str]:
         "folder_key": _with(MERGED, "SELECT path, key FROM eligible"),
         "input_counts": _with(NODES, "SELECT count(*) FILTER (type = 'folder') AS folders_seen, count(*) FILTER (type = 'url') AS urls_seen FROM nodes"),
         "flatten_nodes": _with(NODES, "SELECT path, parent_id, root_key, depth, child_pos, type, name, url, id, date_added, date_modified, date_last_used, visit_count FROM nodes"),
-        "arena_order": _with(NODES, "SELECT path, position FROM nodes"),
+        "arena_order": _with(NODES, "SELECT path, CAST(position AS INT) AS position FROM nodes"),
         "folder_winner": _with(MERGED, "SELECT key, path AS winner FROM fate WHERE rn = 1"),
         "folder_merge_map": _with(MERGED, "SELECT path, new_parent FROM merged"),
         "folder_merge_attrs": _with(MERGED, "SELECT key, winner AS winner_path, group_size, CAST(visits AS BIGINT) AS visits, modified FROM fate WHERE rn = 1"),
@@ -85,7 +85,7 @@ def oracle_sql() -> dict[str, str]:
         "url_dedup_counts": _with(DEDUPED, "SELECT new_parent, canon, n - 1 AS removed FROM entries WHERE place = 1 AND n > 1"),
         "prune_keep": _with(KEPT, "SELECT path FROM keep"),
         "prune_removed": _with(KEPT, "SELECT path FROM deduped WHERE type = 'folder' AND path NOT IN (SELECT path FROM keep)"),
-        "sibling_order": _with(KEPT, "SELECT path, new_parent, place AS position FROM ordered"),
+        "sibling_order": _with(KEPT, "SELECT path, new_parent, CAST(place AS INT) AS position FROM ordered"),
         "folder_registry": _with(KEPT, "SELECT name, count(*) AS n FROM final WHERE type = 'folder' AND name IS NOT NULL GROUP BY name"),
         "all_unique": _with(KEPT, "SELECT max(n) <= 1 AS all_unique FROM (SELECT count(*) AS n FROM final WHERE type = 'folder' AND name IS NOT NULL GROUP BY name) q"),
         "viol_global_unique": _with(NODES, "SELECT lower(trim(name)) AS detail, min(path) AS path FROM nodes WHERE type = 'folder' AND name IS NOT NULL GROUP BY lower(trim(name)) HAVING count(*) > 1"),
@@ -95,12 +95,12 @@ def oracle_sql() -> dict[str, str]:
         "violations_left": _with(KEPT, "SELECT lower(trim(name)) AS detail FROM final WHERE type = 'folder' AND name IS NOT NULL GROUP BY lower(trim(name)) HAVING count(*) > 1"),
         "identity_vertices": _with(IDENTITY, "SELECT DISTINCT key FROM ident"),
         "identity_edges": _with(IDENTITY, "SELECT src, dst FROM edges"),
-        "identity_scc": _with(IDENTITY, "SELECT (SELECT count(DISTINCT key) FROM ident) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT key) FROM ident) AS components, 0 AS cyclic_components"),
+        "identity_scc": _with(IDENTITY, "SELECT (SELECT count(DISTINCT key) FROM ident) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT key) FROM ident) AS components, CAST(0 AS BIGINT) AS cyclic_components"),
         "scc_labels": _with(SQUARES, "SELECT key, component, component_size, is_cyclic FROM scc"),
         "scc_summary": _with(SQUARES, "SELECT (SELECT count(*) FROM vertices) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM edges) q) AS edges, count(DISTINCT component) AS components, count(DISTINCT component) FILTER (is_cyclic) AS cyclic_components FROM scc"),
         "stats": _with(KEPT, stats),
         "event_counts": _with(KEPT, """SELECT 'folder_merge_planned' AS type, count(DISTINCT key) FILTER (group_size > 1) AS n FROM fate UNION ALL SELECT 'folder_merged', count(DISTINCT key) FILTER (group_size > 1) FROM fate
             UNION ALL SELECT 'url_deduped', count(*) FROM entries WHERE place = 1 AND n > 1 UNION ALL SELECT 'folder_pruned', count(*) FROM deduped WHERE type = 'folder' AND path NOT IN (SELECT path FROM keep)
             UNION ALL SELECT 'phase_started', 7 UNION ALL SELECT 'phase_finished', 6 UNION ALL SELECT 'scc_computed', 1 UNION ALL SELECT 'folder_counts', 1 UNION ALL SELECT 'finished', 1"""),
-        "normalized_nodes": _with(KEPT, "SELECT path, new_parent, place AS position, type, name, url, id, date_added, date_modified, date_last_used, visit_count FROM ordered"),
+        "normalized_nodes": _with(KEPT, "SELECT path, new_parent, CAST(place AS INT) AS position, type, name, url, id, date_added, date_modified, date_last_used, visit_count FROM ordered"),
     }
