@@ -23,7 +23,7 @@ BUCKETS, DIM, FILTERS, WIDTHS, BEGINNINGS = 1 << 16, 8, 8, (1, 2, 3), (3, 4, 5)
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
 EPOCHS, BATCH, RATE = 4, 32, 0.05
 THRESHOLD = 0.3
-PAD = max(WIDTHS) - 1
+PAD = max(WIDTHS)
 
 
 def features(chunk: K.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,8 +59,9 @@ class Model:
     scale: tuple[float, float] = (1.0, 0.0)
     thresholds: dict[str, float] = field(default_factory=dict)
 
-    def responses(self, buckets: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
-        """For each width the filters' responses at each place; the last places' windows reach over the end."""
+    def responses(self, buckets: np.ndarray, places: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        """For each width the filters' responses at each place; windows that would reach into the next
+        document have none."""
         own = np.zeros((len(buckets) + 1, DIM), np.float32)  # the last row stands for no word
         for k in range(buckets.shape[1]):
             own[:-1] += self.embedding[buckets[:, k]]
@@ -69,12 +70,13 @@ class Model:
             total = (own @ kernel[0])[places]
             for j in range(1, width):
                 total[:-j] += (own @ kernel[j])[places[j:]]
+                total[last - j] = -np.inf
             out.append(total)
         return out
 
     def logits(self, chunk: K.Chunk) -> np.ndarray:
-        buckets, places, begin, _ = features(chunk)
-        pooled = np.concatenate([np.maximum.reduceat(r, begin, axis=0) for r in self.responses(buckets, places)], axis=1)
+        buckets, places, begin, last = features(chunk)
+        pooled = np.concatenate([np.maximum.reduceat(r, begin, axis=0) for r in self.responses(buckets, places, last)], axis=1)
         return np.maximum(pooled + self.bias, 0) @ self.weight + self.offset
 
     def score(self, chunk: K.Chunk) -> np.ndarray:
@@ -133,7 +135,7 @@ def fit(texts: list[str], labels: np.ndarray, languages: list[str], positive_sha
 def _step(model: Model, squares: dict, chunk: tuple, y: np.ndarray) -> None:
     """One step of AdaGrad; only the places that gave a maximum have a gradient."""
     buckets, places, begin, last = chunk
-    responses = model.responses(buckets, places)
+    responses = model.responses(buckets, places, last)
     spans = list(zip(begin.tolist(), last.tolist(), strict=True))
     best = [np.stack([r[a:b].argmax(axis=0) + a for a, b in spans]) for r in responses]
     pooled = np.concatenate([np.take_along_axis(r, at, axis=0) for r, at in zip(responses, best, strict=True)], axis=1) + model.bias
@@ -154,8 +156,7 @@ def _step(model: Model, squares: dict, chunk: tuple, y: np.ndarray) -> None:
         delta = back[:, i * FILTERS : (i + 1) * FILTERS]
         gradient = np.zeros_like(kernel)
         for j in range(width):
-            word = places[np.minimum(best[i] + j, len(places) - 1)]
-            word = np.where(best[i] + j < len(places), word, -1)
+            word = places[best[i] + j]
             gradient[j] = np.einsum("dfk,df->kf", own[word], delta)
             np.add.at(word_gradient, word.ravel(), (delta[:, :, None] * kernel[j].T[None]).reshape(-1, DIM))
         kernel_gradients[width] = gradient
