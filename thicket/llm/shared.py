@@ -12,16 +12,20 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 2000
 _shipped: set[str] = set()
 _own: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the Python workers, once an application: theirs may lack its path."""
+    """Send this package's modules to the Python workers, once an application (theirs may lack its path), and
+    bound the batches that they get to BATCH_ROWS."""
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
+    # Rows of a text table can be long: smaller batches than Spark's default of 10,000 rows to a Python worker.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(BATCH_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
     package = Path(__file__).resolve().parent.parent
     at = tempfile.mkdtemp(prefix="modules-")
     atexit.register(shutil.rmtree, at, True)

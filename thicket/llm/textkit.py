@@ -7,6 +7,7 @@ as the empty text. A single document is never cut: a chunk may exceed its bound
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -77,6 +78,22 @@ def chunks(texts: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[Chunk]:
         hi = max(lo + 1, int(np.searchsorted(total, before + limit, "right")))
         yield Chunk(lo, hi, "".join(x or "" for x in texts.slice(lo, hi - lo).to_pylist()), lengths[lo:hi])
         lo = hi
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks, beside the executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None  # another C library
 
 
 @lru_cache(maxsize=1)
