@@ -127,7 +127,7 @@ class Merges:
 class IdCache:
     """Ids of pre-tokens by hash: slots that point into one array, emptied when that has grown too long."""
 
-    def __init__(self, bits: int = 21, most: int = 1 << 24):
+    def __init__(self, bits: int = 20, most: int = 1 << 22):
         self.slots, self.most = K.SlotCache(bits), most
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 

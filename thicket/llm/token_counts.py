@@ -84,13 +84,13 @@ def with_specials(chunk: K.Chunk, points: np.ndarray, special: dict[str, int]) -
 
 
 class PieceCounter:
-    """Counts of a path, kept for the life of a Python worker. Memory: 2**21 slots, whatever it reads."""
+    """Counts of a path, kept for the life of a Python worker. Memory: 2**20 slots, whatever it reads."""
 
     kept: dict[str, PieceCounter] = {}
 
     def __init__(self, path: str):
         self.library = PieceLibrary(path)
-        self.cache = K.SlotCache(21)
+        self.cache = K.SlotCache(20)
 
     @classmethod
     def of(cls, path: str) -> PieceCounter:
