@@ -205,6 +205,45 @@ def test_embedding_links(spark):
     assert embeddings.near_duplicates(df.limit(0))[0].collect() == []
 
 
+@pytest.mark.parametrize("tile", [4096, 300])
+def test_links_in_a_concentrated_label(spark, monkeypatch, tile):
+    # All vectors lie at a cosine of about 0.95 with each other: strangers fill the windows.
+    monkeypatch.setattr(embeddings, "RUN_TILE", tile)
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=64)
+    unit = lambda z: z / np.linalg.norm(z, axis=-1, keepdims=True)
+
+    def around(z, cosine):
+        """4000 unit vectors at that cosine with the vector, or each with its own."""
+        z, y = unit(z), rng.normal(size=(4000, 64))
+        return cosine * z + np.sqrt(1 - cosine**2) * unit(y - (y * z).sum(axis=-1, keepdims=True) * z)
+
+    x = around(centre, np.sqrt(0.95))
+    x = np.concatenate([x, around(x, 0.981)[:300]])
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").selectExpr("*", "1 as label")
+    linked = (unit(x) @ unit(x).T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df)[0].collect()}
+    assert [got[i][0] for i in range(len(x))] == linked.sum(axis=1).tolist()
+    assert linked[np.arange(300), 4000 + np.arange(300)].all()
+    assert all(got[4000 + i][1] == got[i][1] for i in range(300))
+
+
+def test_runs_find_pairs_in_every_pass_that_they_need(spark, monkeypatch):
+    # Rows that cost nothing make short runs the cheapest.
+    monkeypatch.setattr(embeddings, "ROW", 0)
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(2000, 64))
+    y = x[:200] + rng.normal(size=(200, 64)) * 0.195
+    unit = lambda z: z / np.linalg.norm(z, axis=1, keepdims=True)
+    near = np.flatnonzero((unit(x[:200]) * unit(y)).sum(axis=1) >= 0.98)
+    rows = list(enumerate(np.concatenate([x, y]).tolist()))
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>").selectExpr("id", "1L as group", "64 as dimension", "vector", "id as component")
+    [plan] = embeddings.run_bits(vectors, 0.98).collect()
+    assert plan.bits > 0 and plan.turns == embeddings.turns(plan.bits)
+    found = {tuple(sorted(r)) for r in embeddings.run_links(vectors, 0.98)[0].collect()}
+    assert len(near) > 50 and found == {(int(i), 2000 + int(i)) for i in near}
+
+
 def test_large_components_are_counted_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "TILE", 16)
     rng = np.random.default_rng(8)

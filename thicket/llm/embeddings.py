@@ -3,11 +3,16 @@
 In each pass every vector gets a key of concatenated random hyperplane signs; vectors are ordered by label
 and key, and each is compared, exactly, with a bounded window of its neighbours. Links found in any pass
 are united. The order is cut into blocks of fixed size that overlap by a window, so no task depends on how
-many vectors a label or key holds. The number of passes follows from the largest label's size, so that a
-pair right at the threshold is missed by all of them with probability MISS at most.
+many vectors a label or key holds. Windows join dense groups cheaply, but strangers can fill them.
 
-A window finds enough links to join a dense group but not all of them, so links are then counted over all
-pairs inside each component, block against block, without a row for any pair.
+So what is still apart is then compared in whole runs: all vectors of a label that share the first signs of
+a key, tile against tile, however many they are. How many signs each label's runs share follows from its
+crowding, measured on one pass; the number of passes follows from the signs, so that a pair right at the
+threshold shares no run with probability MISS at most, wherever the label's other vectors lie. Where runs
+would cost more than all pairs of the label do, its only run is the whole label and no pair is missed.
+
+Neither finds all links of a dense group, so links are then counted over all pairs inside each component,
+block against block, without a row for any pair.
 """
 
 from __future__ import annotations
@@ -21,16 +26,17 @@ from pyspark.sql import functions as F
 
 from thicket.llm.shared import components, drop, ranked, written
 
-THRESHOLD, WINDOW, MISS, LEAST_PASSES = 0.98, 32, 1e-5, 8
+THRESHOLD, WINDOW, MISS, PASSES = 0.98, 32, 1e-5, 8
 BITS, BLOCK, TILE = 60, 2048, 1024
+#: Signs that runs may share, a side of their tiles, and a row's cost in compared pairs.
+SHARED_BITS, RUN_TILE, ROW = range(0, 44, 4), 4096, 1000
 
 
-def passes(largest: int, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS) -> int:
-    """Passes for groups of up to ``largest`` vectors: neighbours share the signs that tell a window from
-    the rest of the group with a probability that falls with the logarithm of the group's size."""
-    same = 1 - math.acos(min(1.0, threshold)) / math.pi
-    found = same ** max(1.0, math.log2(max(2, largest) / window) + 2)
-    return max(LEAST_PASSES, math.ceil(math.log(miss) / math.log(1 - min(found, 0.999))))
+def turns(bits: int, threshold: float = THRESHOLD, miss: float = MISS) -> int | None:
+    """Passes after which a pair at the threshold has shared the first ``bits`` signs of a key in one of
+    them, but for a probability of ``miss``; none if no number does."""
+    found = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return 1 if found >= 1 else math.ceil(math.log(miss) / math.log1p(-found)) if found > 1e-4 else None
 
 
 def planes(turn: int, dimension: int) -> np.ndarray:
@@ -67,22 +73,33 @@ def _links(ids: list, group: np.ndarray, x: np.ndarray, threshold: float, window
     return a, b
 
 
-def window_links(vectors: DataFrame, turns: int, threshold: float, window: int) -> tuple[DataFrame, list[str]]:
-    """Links (a, b) among (id, group, dimension, vector) that the passes find, enough to connect what they join."""
-    kind = vectors.schema["id"].dataType.simpleString()
+def projected(vectors: DataFrame, others: list[str] = ()) -> DataFrame:
+    """(turn, group, dimension, key, id and ``others``): the keys of (id, group, dimension, vector, turns),
+    in as many passes as each row's ``turns``."""
+    of = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    rest = ["id", *others]
 
     def keys(batches):
         weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
-            sizes = np.asarray(batch.column("dimension"))
+            sizes, passes = np.asarray(batch.column("dimension")), np.asarray(batch.column("turns"))
             for size in np.unique(sizes).tolist():
-                part = batch.filter(pa.array(sizes == size))
+                part, times = batch.filter(pa.array(sizes == size)), passes[sizes == size]
                 x = unit(part.column("vector"))
-                for turn in range(turns):
-                    key = (x @ planes(turn, size) > 0).astype(np.int64) @ weights
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), turn, np.int32)), part.column("group"), pa.array(np.full(len(x), size, np.int32)), pa.array(key), part.column("id")], ["turn", "group", "dimension", "key", "id"])
+                for turn in range(int(times.max())):
+                    has = np.flatnonzero(times > turn)
+                    own = part if len(has) == len(x) else part.take(pa.array(has))
+                    key = (x[has] @ planes(turn, size) > 0).astype(np.int64) @ weights
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has), turn, np.int32)), own.column("group"), pa.array(np.full(len(has), size, np.int32)), pa.array(key), *(own.column(c) for c in rest)], ["turn", "group", "dimension", "key", *rest])
 
-    keyed = vectors.select("id", "group", "dimension", "vector").mapInArrow(keys, f"turn int, group long, dimension int, key long, id {kind}")
+    schema = "turn int, group long, dimension int, key long, " + ", ".join(f"{c} {of[c]}" for c in rest)
+    return vectors.select("group", "dimension", "vector", "turns", *rest).mapInArrow(keys, schema)
+
+
+def window_links(vectors: DataFrame, passes: int, threshold: float, window: int) -> tuple[DataFrame, list[str]]:
+    """Links (a, b) among (id, group, dimension, vector) that the passes find, enough to connect what they join."""
+    kind = vectors.schema["id"].dataType.simpleString()
+    keyed = projected(vectors.withColumn("turns", F.lit(passes)))
     order, at = ranked(keyed, ["turn", "group", "dimension", "key", "id"], "passes")
     block = F.expr(f"ordinal div {BLOCK}")
     early = (F.expr(f"ordinal % {BLOCK}") < window) & (block > 0)
@@ -107,6 +124,79 @@ def window_links(vectors: DataFrame, turns: int, threshold: float, window: int)
     return links, [at2]
 
 
+def run_bits(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(group, dimension, bits, turns): how many first signs the runs of each group share, and in how many
+    passes. Of those that find a pair at the threshold, the cheapest by the runs of one pass."""
+    possible = [(k, n) for k in SHARED_BITS if (n := turns(k, threshold)) is not None]
+    choices = F.array(*(F.struct(F.lit(k).alias("bits"), F.lit(n).alias("turns")) for k, n in possible))
+    one = projected(vectors.withColumn("turns", F.lit(1))).withColumn("of", F.explode(choices))
+    runs = one.groupBy("group", "dimension", "of", F.expr(f"shiftright(key, {BITS} - of.bits)").alias("run")).agg(F.count("*").cast("double").alias("n"))
+    cost = F.sum(F.col("of.turns") * F.col("n") * (ROW * F.ceil(F.col("n") / RUN_TILE) + F.col("n") / 2))
+    return runs.groupBy("group", "dimension", "of").agg(cost.alias("cost")).groupBy("group", "dimension").agg(F.min(F.struct("cost", "of.bits", "of.turns")).alias("best")).select("group", "dimension", "best.bits", "best.turns")
+
+
+def run_links(vectors: DataFrame, threshold: float) -> tuple[DataFrame, list[str]]:
+    """Links (a, b) that join what is still apart of (id, group, dimension, vector, component).
+
+    All vectors of a run in different components are compared. A run over RUN_TILE is dealt into tiles, each
+    pair of which is compared as a whole in one place; small runs share tasks. No row is made for a pair but
+    a link that joins.
+    """
+    kind = vectors.schema["id"].dataType.simpleString()
+    run = ["turn", "group", "dimension", "run"]
+    plan, at_plan = written(run_bits(vectors, threshold), "run-bits")
+    keyed = projected(vectors.join(plan, ["group", "dimension"]), ["component", "bits"])
+    rows, at_rows = written(keyed.withColumn("run", F.expr(f"shiftright(key, {BITS} - bits)")).select(*run, "id", "component"), "runs")
+    sizes = rows.groupBy(*run).agg(F.count("*").alias("n"), F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high")
+    sizes, at_sizes = written(sizes.select(*run, "n", F.ceil(F.col("n") / RUN_TILE).cast("int").alias("tiles")), "run-sizes")
+    total = sizes.agg(F.sum(F.col("n") * F.col("tiles")).alias("n")).first()["n"] or 0
+    placed = rows.join(sizes, run).withColumn("tile", F.expr("cast(pmod(xxhash64(id), tiles) as int)"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select(*run, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "component")
+    dealt = dealt.withColumn("task", F.expr(f"pmod(xxhash64({', '.join(run)}, i, j), {max(1, total // (2 * RUN_TILE))})"))
+    dealt = dealt.join(vectors.select("id", "group", "dimension", "vector"), ["id", "group", "dimension"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in (*run, "i", "j", "tile")]).combine_chunks()
+        parts = [table.column(c).to_numpy() for c in (*run, "i", "j")]
+        i, j, tile = (table.column(c).to_numpy() for c in ("i", "j", "tile"))
+        new = np.logical_or.reduce([p[1:] != p[:-1] for p in parts])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(i)]
+        a, b = [], []
+        for lo, hi in zip(cuts, cuts[1:]):
+            x, ids = unit(table.column("vector").slice(lo, hi - lo)), table.column("id").slice(lo, hi - lo).to_pylist()
+            own = table.column("component").slice(lo, hi - lo).combine_chunks().dictionary_encode()
+            own = (own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own).indices.to_numpy()
+            parent = np.arange(int(own.max()) + 1)
+
+            def root(k: int) -> int:
+                while parent[k] != k:  # noqa: B023
+                    parent[k] = parent[parent[k]]  # noqa: B023
+                    k = parent[k]  # noqa: B023
+                return k
+
+            cut = int(np.searchsorted(tile[lo:hi], j[lo])) if i[lo] < j[lo] else 0
+            for at in range(0, cut or hi - lo, TILE):
+                to = min(cut or hi - lo, at + TILE)
+                first = cut or at
+                p, q = np.nonzero(x[at:to] @ x[first:].T >= threshold)
+                p, q = p + at, q + first
+                apart = own[p] != own[q]
+                p, q = p[apart], q[apart]
+                _, one = np.unique(own[p].astype(np.int64) << 32 | own[q], return_index=True)
+                for m, n in zip(p[one].tolist(), q[one].tolist()):
+                    if (r := root(own[m])) != (t := root(own[n])):
+                        parent[max(r, t)] = min(r, t)
+                        a.append(ids[m])
+                        b.append(ids[n])
+        of = table.schema.field("id").type
+        return pa.table([pa.array(a, of), pa.array(b, of)], names=["a", "b"])
+
+    links, at = written(dealt.groupBy("task").applyInArrow(compare, f"a {kind}, b {kind}"), "run-links")
+    drop(vectors.sparkSession, at_plan, at_rows, at_sizes)
+    return links, [at]
+
+
 def component_links(members: DataFrame, threshold: float) -> DataFrame:
     """(id, n): how many copies of other members' vectors each of (component, id, vector, copies) links with,
     over all pairs of a component. A component over TILE is dealt into tiles, each pair of which is a task's
@@ -161,14 +251,17 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     classes, at_classes = written(
         table.where("sound").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("group").alias("group"), F.first("vector").alias("vector")).withColumn("dimension", F.size("vector")), "vectors"
     )
-    largest = classes.groupBy("group").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
-    links, at_links = window_links(classes, passes(largest, threshold, window), threshold, window)
+    links, at_links = window_links(classes, PASSES, threshold, window)
     root, at_root = components(links, "vectors")
+    apart = classes.select("id", "group", "dimension", "vector").join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    more, at_more = run_links(apart, threshold)
+    drop(spark, *at_root)
+    root, at_root = components(links.unionAll(more), "vectors")
     inside = classes.join(root.withColumnRenamed("node", "id"), "id").select("id", "component", "vector", "copies")
     counted = component_links(inside, threshold)
     placed = classes.select("h1", "h2", "id", "copies").join(root.withColumnRenamed("node", "id"), "id", "left").join(counted, "id", "left")
     placed, at = written(placed.select("h1", "h2", F.coalesce("component", "id").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")), "placed")
-    drop(spark, at_classes, *at_links, *at_root)
+    drop(spark, at_classes, *at_links, *at_more, *at_root)
     sound_rows = table.select("id", "sound", F.when(F.col("sound"), F.col("h1")).alias("h1"), F.when(F.col("sound"), F.col("h2")).alias("h2"))
     out = sound_rows.join(placed, ["h1", "h2"], "left")
     out = out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
