@@ -127,6 +127,64 @@ def test_kneser_ney(spark, count):
         assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def brute_trigrams(texts, held):
+    """The score of each text by a model of order 3 of those not held out."""
+    tokens = [["", *(t or "").split(), ""] for t in texts]
+    train = [t for t, h in zip(tokens, held) if not h]
+    triples = Counter(x for t in train for x in zip(t, t[1:], t[2:]))
+    raw = Counter(x for t in train for x in zip(t, t[1:]))
+    preceded = Counter((b, c) for _, b, c in triples)
+    pairs = {p: k if p[0] == "" else preceded[p] for p, k in raw.items()}
+    before = Counter(b for _, b in raw)
+    d1, d2, d3 = (kneser_ney.discounts([list(x.values()).count(i) for i in (1, 2, 3, 4)]) for x in (before, pairs, triples))
+    v = len({w for t in train for w in t[1:]})
+    off = lambda k, d: d[min(k, 3) - 1] if k else 0
+
+    def level(count, of, d, low):
+        total = sum(of)
+        return low if not total else (count - off(count, d) + sum(off(k, d) for k in of) * low) / total
+
+    def probability(a, b, c):
+        p = level(before[c], before.values(), d1, 1 / (v + 1))
+        p = level(pairs.get((b, c), 0), [k for x, k in pairs.items() if x[0] == b], d2, p)
+        return p if a is None else level(triples[a, b, c], [k for x, k in triples.items() if x[:2] == (a, b)], d3, p)
+
+    return [sum(math.log10(probability(*x)) for x in zip([None, *t], t, t[1:])) for t in tokens]
+
+
+def test_triples_of_a_range():
+    rng = np.random.default_rng(3)
+    low, high = 7, 60
+    pairs = np.concatenate([np.full(500, 7), np.full(64, 9), np.full(63, 10), rng.integers(11, 59, 400)]).astype(np.uint64)
+    words = np.concatenate([np.arange(500) * 3, np.arange(64), np.arange(63), rng.integers(0, 40, 400)]).astype(np.uint64)
+    keys = np.unique(pairs << np.uint64(32) | words)
+    counts = rng.choice([1, 2, 3, 4, 254, 255, 256, 70000], len(keys))
+    part = kneser_ney.Triples(kneser_ney.Triples.packed(keys, counts, low, high))
+    want = dict(zip(keys.tolist(), counts.tolist(), strict=True))
+    asked = [(c, w) for c in range(low, high) for w in range(0, 1600, 1 if c < 11 else 7)]
+    got = part.counts(np.array([c - low for c, _ in asked]), np.array([w for _, w in asked], np.uint32))
+    assert got.tolist() == [want.get(c << 32 | w, 0) for c, w in asked]
+    of = [[k for x, k in want.items() if x >> 32 == c] for c in range(low, high)]
+    assert part.sums(np.arange(high - low)).T.tolist() == [[sum(x), x.count(1), x.count(2), sum(k > 2 for k in x)] for x in of]
+
+
+def test_kneser_ney_of_order_3(spark):
+    rng = random.Random(5)
+    texts = [None, "", "a", "z z", "a b " * 300, *(" ".join(rng.choice("a a a b c d e f g h".split()) for _ in range(rng.randint(0, 40))) for _ in range(60)), "unseen a unseen b a"]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 or "unseen" in (t or "") for i, t in enumerate(texts)]
+    docs = documents(spark, texts)
+    model = kneser_ney.train(docs.where(~docs.doc_id.isin([i for i, h in enumerate(held) if h])), order=3)
+    rows = sorted(kneser_ney.score(docs.select("doc_id", "text"), model).collect())
+    assert [r.score for r in rows] == pytest.approx(brute_trigrams(texts, held), rel=1e-9, abs=1e-9)
+
+
+def test_model_of_order_3_of_little(spark):
+    for texts in ([], [""], ["a"]):
+        model = kneser_ney.train(documents(spark, texts), order=3)
+        got = [r.score for r in sorted(kneser_ney.score(documents(spark, ["a b", ""]).select("doc_id", "text"), model).collect())]
+        assert got == pytest.approx(brute_trigrams([*texts, "a b", ""], [*(False for _ in texts), True, True])[len(texts) :] if texts else [0, 0], abs=1e-9)
+
+
 def test_model_of_nothing(spark):
     model = kneser_ney.train(documents(spark, []))
     assert [(r.n_tokens, r.n_known, r.score) for r in kneser_ney.score(documents(spark, ["a b"]).select("doc_id", "text"), model).collect()] == [(3, 0, 0.0)]

@@ -1,10 +1,13 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped for scoring.
+"""Interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark and memory-mapped for scoring.
 
 Words are 64-bit hashes. Map tasks count a batch's distinct hashes; their counts go, as compressed sorted
 arrays, to the ranges of hashes that a reduce task merges and writes: the vocabulary is then a row of
 sorted hash files, and a word's id is its rank. Pairs of ids are counted and stored the same way, in
 ranges of about equal mass that also cut a frequent word's pairs; so no key, however frequent, decides a
-task's size. Workers map the files they need and look up whole chunks of sorted distinct keys.
+task's size. A pair's rank among all pairs is its id as a context: triples are (pair's rank, word's id), counted
+the same way and stored by context. Below triples a pair counts as often as distinct words precede it, but
+for pairs at a document's beginning, which nothing precedes; they keep their counts, and a document's first
+token is scored by its pair. Workers map the files they need and look up whole chunks of sorted distinct keys.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from thicket.llm.store import Store
 #: Distinct keys that a map task holds before it hands them on.
 HELD = 1 << 21
 END = 0
+#: Followers from which a context's sums are stored, and points at which a range of pairs tells its mass.
+MANY, POINTS = 64, 16
 
 
 def words(chunk: K.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,6 +103,66 @@ class Tally:
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack(keys[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]]) for i in full], pa.binary())], ["part", "data"])
 
 
+class Triples:
+    """The triples of one range: for each pair in it where its followers begin, their ids and counts, and the
+    sums of pairs with many. A count is a byte; those from 255 are in a table of their own."""
+
+    def __init__(self, raw: np.ndarray):
+        sizes = raw[:32].view(np.int64).tolist()
+        at, parts = 32, []
+        for n, kind in zip((sizes[0] * 5, sizes[1] * 2, sizes[2], sizes[3], sizes[3]), (np.int64, np.int64, np.uint32, np.uint32, np.uint8), strict=True):
+            end = at + n * np.dtype(kind).itemsize
+            parts.append(raw[at:end].view(kind))
+            at = end
+        self.many, self.large = parts[0].reshape(5, -1), parts[1].reshape(2, -1)
+        self.starts, self.words, self.bytes = parts[2:]
+
+    @staticmethod
+    def packed(keys: np.ndarray, counts: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Of ascending keys with contexts from ``low`` to before ``high``."""
+        starts = np.searchsorted(keys, np.arange(low, high + 1, dtype=np.uint64) << np.uint64(32))
+        large = np.flatnonzero(counts >= 255)
+        many = np.flatnonzero(np.diff(starts) >= MANY)
+        sums = [np.add.reduceat(x.astype(np.int64), np.stack([starts[many], starts[many + 1]], 1).ravel())[::2] if len(many) else many for x in (np.append(c, 0) for c in (counts, counts == 1, counts == 2, counts > 2))]
+        arrays = [np.array([len(many), len(large), len(starts), len(keys)], np.int64), many, *sums, large, counts[large]]
+        arrays = [a.astype(np.int64) for a in arrays] + [starts.astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(counts, 255).astype(np.uint8)]
+        return np.concatenate([a.view(np.uint8) for a in arrays])
+
+    def _counts(self, places: np.ndarray) -> np.ndarray:
+        out = self.bytes[places].astype(np.int64)
+        big = np.flatnonzero(out == 255)
+        out[big] = self.large[1][np.searchsorted(self.large[0], places[big])]
+        return out
+
+    def counts(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Of words after contexts (places in the range); all binary searches advance together."""
+        low, end = self.starts[contexts].astype(np.int64), self.starts[contexts + 1].astype(np.int64)
+        high, last = end, len(self.words) - 1
+        if last < 0:
+            return np.zeros(len(words), np.int64)
+        while (open_ := low < high).any():
+            middle = (low + high) >> 1
+            less = self.words[np.minimum(middle, last)] < words
+            low, high = np.where(open_ & less, middle + 1, low), np.where(open_ & ~less, middle, high)
+        found = np.flatnonzero((low < end) & (self.words[np.minimum(low, last)] == words))
+        out = np.zeros(len(words), np.int64)
+        out[found] = self._counts(low[found])
+        return out
+
+    def sums(self, contexts: np.ndarray) -> np.ndarray:
+        """For distinct contexts: the sum of their followers' counts, and how many have 1, 2 and more."""
+        out = np.zeros((4, len(contexts)), np.int64)
+        start = self.starts[contexts].astype(np.int64)
+        n = self.starts[contexts + 1].astype(np.int64) - start
+        many = np.flatnonzero(n >= MANY)
+        out[:, many] = self.many[1:, np.searchsorted(self.many[0], contexts[many])]
+        few = np.flatnonzero(n < MANY)
+        count, owner = self._counts(K.ragged(start[few], n[few])), np.repeat(np.arange(len(few)), n[few])
+        for row, x in enumerate((count, count == 1, count == 2, count > 2)):
+            out[row, few] = np.bincount(owner, x, len(few)).astype(np.int64)
+        return out
+
+
 @dataclass
 class Model:
     """What workers need to find their way in the files; a few numbers for each range."""
@@ -114,6 +179,11 @@ class Model:
     discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     low_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     low_spare: float = 1.0
+    order: int = 2
+    pair_base: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # rank of each range's first pair
+    triple_bounds: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    triples: int = 0  # distinct
+    high_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
     @property
     def vocabulary(self) -> int:
@@ -151,14 +221,47 @@ class Model:
         out[ids == END] = self.ends
         return out
 
-    def probabilities(self, keys: np.ndarray) -> np.ndarray:
-        """Of sorted distinct pairs (first id << 32 | second id): the second word's after the first."""
-        count = np.zeros(len(keys), np.int64)
+    def find(self, keys: np.ndarray, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and, of a model of order 3, ranks (-1: unknown) of sorted distinct pairs."""
+        count, rank = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
         cuts = [0, *np.searchsorted(keys, self.pair_bounds).tolist(), len(keys)]
         for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if self.pairs and b > a and len(known := self.store.read(f"pair-{i}.key", np.uint64)):
                 at = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
-                count[a:b] = np.where(known[at] == keys[a:b], self.store.read(f"pair-{i}.count", np.uint32)[at], 0)
+                here = known[at] == keys[a:b]
+                if counted:
+                    count[a:b] = np.where(here, self.store.read(f"pair-{i}.count", np.uint32)[at], 0)
+                if self.order > 2:
+                    rank[a:b] = np.where(here, at + self.pair_base[i], -1)
+        return count, rank
+
+    def contexts(self, i: int) -> tuple[int, int]:
+        """The first pair of a range of triples and the one after its last."""
+        b = [0, *self.triple_bounds.tolist()]
+        return b[i] >> 32, ((b[i + 1] - 1) >> 32) + 1 if i + 1 < len(b) else self.pairs
+
+    def after_pairs(self, keys: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Of sorted distinct triples (pair's rank << 32 | id): the word's probability, given the one after
+        the pair's second word alone."""
+        if not self.triples:
+            return low
+        count = np.zeros(len(keys), np.int64)
+        context, back = np.unique((keys >> np.uint64(32)).astype(np.int64), return_inverse=True)
+        sums = np.zeros((4, len(context)), np.int64)
+        cuts = [0, *np.searchsorted(keys, self.triple_bounds).tolist(), len(keys)]
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            first, end = self.contexts(i)
+            c, d = np.searchsorted(context, [first, end]).tolist()
+            if b > a or d > c:
+                part = Triples(self.store.read(f"triple-{i}", np.uint8))
+                count[a:b] = part.counts((keys[a:b] >> np.uint64(32)).astype(np.int64) - first, (keys[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+                sums[:, c:d] += part.sums(context[c:d] - first)
+        total = np.maximum(sums[0], 1)
+        spare = np.where(sums[0] > 0, np.array(self.high_discounts) @ sums[1:] / total, 1.0)
+        return np.maximum(count - _discount(count, self.high_discounts), 0) / total[back] + spare[back] * low
+
+    def probabilities(self, keys: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Of sorted distinct pairs (first id << 32 | second id) and their counts: the second word's after the first."""
         first, back = np.unique((keys >> np.uint64(32)).astype(np.int64), return_inverse=True)
         second, back2 = np.unique((keys & np.uint64(0xFFFFFFFF)).astype(np.int64), return_inverse=True)
         # The lower order: in how many distinct pairs a word is second.
@@ -206,8 +309,32 @@ def pairs_of(ids: np.ndarray) -> np.ndarray:
     return before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
-    """Count ``docs`` and store the model in the shared folder. A null text counts as empty: one end."""
+def triples_of(ids: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of tokens that two of their document, a known pair, or its beginning and one precede, and their
+    triples, from the rank of each token's pair with the one before."""
+    before = np.concatenate([[-1], rank[:-1]])
+    before[np.concatenate([[END], ids[:-1]]) == END] = -1
+    has = np.flatnonzero(before >= 0)
+    return has, before[has].astype(np.uint64) << np.uint64(32) | ids[has].astype(np.uint64)
+
+
+def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
+    """Count ``docs`` and store the model, of order 2 or 3, in the shared folder. A null text counts as empty:
+    one end."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
+    spark = docs.sparkSession
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    # What one count has shuffled needn't stay on disk during the next.
+    spark.conf.set(cleanup, "true")
+    try:
+        return _train(docs, text, order)
+    finally:
+        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
+
+
+def _train(docs: DataFrame, text: str, order: int) -> Model:
     spark = docs.sparkSession
     address = folder(spark, "kneser-ney")
     make_dirs(spark, address)
@@ -251,7 +378,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     ends = found[-1]["tokens"] if -1 in found else 0
     if sum(sizes) >= (1 << 32) - 2:
         raise ValueError("more distinct words than ids of 32 bits")
-    model = Model(store, bounds, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), sum(sizes), sum(mass) + ends, ends)
+    model = Model(store, bounds, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), sum(sizes), sum(mass) + ends, ends, order=order)
     if not model.tokens:
         return model
     model.pair_bounds = _pair_bounds(model, np.array(mass), 4 * parts)
@@ -274,6 +401,15 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         keys, counts = merge(np.concatenate([k for k, _ in read]), np.concatenate([c for _, c in read]))
         store.write(f"pair-{part}.key", keys)
         store.write(f"pair-{part}.count", np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
+        if order == 2:
+            return sums_by_word(keys, counts)
+        mass = np.cumsum(np.where(keys & np.uint64(0xFFFFFFFF) == END, 0, counts))
+        points = mass[-1] * np.arange(POINTS) / POINTS
+        at = np.minimum(np.searchsorted(mass, points, "right"), len(keys) - 1)
+        share = (points - np.where(at > 0, mass[at - 1], 0)) / np.maximum(np.where(at > 0, mass[at] - mass[at - 1], mass[0]), 1)
+        return pa.table({"part": pa.array([part], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "mass": pa.array([int(mass[-1])], pa.int64()), "at": pa.array([at.tolist()], pa.list_(pa.int64())), "share": pa.array([share.tolist()], pa.list_(pa.float64()))})
+
+    def sums_by_word(keys: np.ndarray, counts: np.ndarray) -> pa.Table:
         out = [(-1, "counts", np.bincount(np.minimum(counts, 5), minlength=6)[1:5].astype(np.int64).tobytes())]
         first = keys >> np.uint64(32)
         second, before = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
@@ -287,7 +423,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         names, data = table.column("name").to_pylist(), table.column("data").to_pylist()
         if at < 0:
             n = sum(np.frombuffer(x, np.int64) for x in data)
-            return pa.table({"kind": ["pairs"], "n": pa.array([n.tolist()], pa.list_(pa.int64()))})
+            return pa.table({"kind": ["pairs" if at == -1 else "triples"], "n": pa.array([n.tolist()], pa.list_(pa.int64()))})
         low, high = -(-at * size // parts), -(-(at + 1) * size // parts)
         for name, kind in (("before", np.uint32), ("total", np.int64), ("n1", np.uint32), ("n2", np.uint32), ("n3", np.uint32)):
             values = np.zeros(high - low, np.int64)
@@ -300,13 +436,81 @@ def train(docs: DataFrame, text: str = "text") -> Model:
                 n = [*n[1:5].tolist(), int(values.sum()), int((values > 2).sum())]
         return pa.table({"kind": ["words"], "n": pa.array([n], pa.list_(pa.int64()))})
 
-    counted = texts.mapInArrow(count_pairs, "part int, data binary").groupBy("part").applyInArrow(store_pairs, "range int, name string, data binary")
+    def count_triples(batches):
+        tally = Tally(model.triple_bounds)
+        for batch in batches:
+            for chunk in K.chunks(batch.column(0)):
+                ids = sequence(model, chunk)[0]
+                keys, at = np.unique(pairs_of(ids), return_inverse=True)
+                if tally.add(triples_of(ids, model.find(keys, False)[1][at])[1]):
+                    yield tally.flush()
+        yield tally.flush()
+
+    def store_triples(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        read = [unpack(x) for x in table.column("data").to_pylist()]
+        keys, counts = merge(np.concatenate([k for k, _ in read]), np.concatenate([c for _, c in read]))
+        first, end = model.contexts(part)
+        store.write(f"triple-{part}", Triples.packed(keys, counts, first, end))
+        number = np.append(np.bincount(np.minimum(counts, 5), minlength=6)[1:5], len(keys))
+        # Each triple's last two words: one more that precedes them.
+        context, back = np.unique((keys >> np.uint64(32)).astype(np.int64), return_inverse=True)
+        middle = np.zeros(len(context), np.uint64)
+        cuts = np.append(np.searchsorted(context, model.pair_base), len(context)).tolist()
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if b > a:
+                middle[a:b] = store.read(f"pair-{i}.key", np.uint64)[context[a:b] - model.pair_base[i]] & np.uint64(0xFFFFFFFF)
+        tally = Tally(model.pair_bounds)
+        tally.add(middle[back] << np.uint64(32) | keys & np.uint64(0xFFFFFFFF))
+        out = tally.flush()
+        return pa.Table.from_batches([out, pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([number.astype(np.int64).tobytes()], pa.binary())], ["part", "data"])])
+
+    def adjust_pairs(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        data = [x for x in table.column("data").to_pylist() if x]
+        if part < 0:
+            return pa.table({"range": pa.array([-2] * len(data), pa.int32()), "name": ["counts"] * len(data), "data": pa.array(data, pa.binary())})
+        keys = store.read(f"pair-{part}.key", np.uint64)
+        # Only pairs at a beginning keep what is stored, so the task may run again.
+        counts = np.where(keys >> np.uint64(32) == END, store.read(f"pair-{part}.count", np.uint32), 0).astype(np.int64)
+        for x in data:
+            k, c = unpack(x)
+            counts[np.searchsorted(keys, k)] += c
+        store.write(f"pair-{part}.count", np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
+        return sums_by_word(keys, counts)
+
+    def fill_pairs() -> None:
+        for p in range(len(model.pair_bounds) + 1):
+            if not _exists(store, f"pair-{p}.key"):
+                store.write(f"pair-{p}.key", np.empty(0, np.uint64))
+                store.write(f"pair-{p}.count", np.empty(0, np.uint32))
+
+    paired = texts.mapInArrow(count_pairs, "part int, data binary").groupBy("part")
+    if order == 2:
+        counted = paired.applyInArrow(store_pairs, "range int, name string, data binary")
+    else:
+        held = {r["part"]: r for r in paired.applyInArrow(store_pairs, "part int, n long, mass long, at array<long>, share array<double>").collect()}
+        fill_pairs()
+        ranges = len(model.pair_bounds) + 1
+        sizes = [held[p]["n"] if p in held else 0 for p in range(ranges)]
+        model.pairs = sum(sizes)
+        if model.pairs >= 1 << 32:
+            raise ValueError("more distinct pairs than contexts of 32 bits")
+        model.pair_base = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        model.triple_bounds = _triple_bounds(model, np.array(mass), held, 4 * parts)
+        triples = texts.mapInArrow(count_triples, "part int, data binary").groupBy("part").applyInArrow(store_triples, "part int, data binary")
+        every = spark.createDataFrame([(p, b"") for p in range(ranges)], "part int, data binary")
+        counted = triples.unionAll(every).groupBy("part").applyInArrow(adjust_pairs, "range int, name string, data binary")
     stats = counted.groupBy("range").applyInArrow(store_ids, "kind string, n array<long>").groupBy("kind").agg(F.collect_list("n").alias("n")).collect()
     stats = {r["kind"]: np.array(r["n"]).sum(axis=0) for r in stats}
-    for p in range(len(model.pair_bounds) + 1):
-        if not _exists(store, f"pair-{p}.key"):
-            store.write(f"pair-{p}.key", np.empty(0, np.uint64))
-            store.write(f"pair-{p}.count", np.empty(0, np.uint32))
+    if order == 2:
+        fill_pairs()
+    else:
+        number = stats.get("triples", np.zeros(5, np.int64)).tolist()
+        model.high_discounts, model.triples = discounts(number[:4]), number[4]
+        for i in range(len(model.triple_bounds) + 1):
+            if not _exists(store, f"triple-{i}"):
+                store.write(f"triple-{i}", Triples.packed(np.empty(0, np.uint64), np.empty(0, np.int64), *model.contexts(i)))
     for r in range(parts):
         low, high = -(-r * size // parts), -(-(r + 1) * size // parts)
         if high > low and not _exists(store, f"id-{r}.before"):
@@ -332,7 +536,31 @@ def _exists(store: Store, name: str) -> bool:
 def _pair_bounds(model: Model, mass: np.ndarray, parts: int) -> np.ndarray:
     """First keys of ranges of pairs that hold about equal numbers of tokens, if a word's successors were
     distributed as all words are: a range ends inside a frequent word's pairs where need be."""
-    total, upto = model.tokens, model.ends + np.concatenate([[0], np.cumsum(mass)])
+    total, word = model.tokens, _word_at(model, mass)
+    out = []
+    for q in range(1, parts):
+        first, share = word(total * q / parts)
+        out.append(first << 32 | word(total * share)[0])
+    return np.array(sorted(out), np.uint64)
+
+
+def _triple_bounds(model: Model, mass: np.ndarray, held: dict, parts: int) -> np.ndarray:
+    """First keys of ranges of triples that hold about equal numbers of tokens, from what the ranges of pairs
+    tell of their mass; a range ends inside a frequent pair's triples, as in _pair_bounds."""
+    of = sorted(held)
+    upto = np.concatenate([[0], np.cumsum([held[p]["mass"] for p in of])])
+    word, out = _word_at(model, mass), []
+    for q in range(1, parts):
+        i = int(np.clip(np.searchsorted(upto, rank := int(upto[-1]) * q / parts, "right") - 1, 0, len(of) - 1))
+        at, share = held[of[i]]["at"], held[of[i]]["share"]
+        j = min(POINTS - 1, int(POINTS * (rank - upto[i]) / max(1, held[of[i]]["mass"])))
+        frequent = at[j] in at[:j] + at[j + 1 :]
+        out.append(int(model.pair_base[of[i]] + at[j]) << 32 | (word(model.tokens * share[j])[0] if frequent else 0))
+    return np.array(sorted({k for k in out if k}), np.uint64)
+
+
+def _word_at(model: Model, mass: np.ndarray):
+    upto = model.ends + np.concatenate([[0], np.cumsum(mass)])
 
     def word(rank: float) -> tuple[int, float]:
         """The id at whose tokens the rank-th of all tokens lies, and the share of its tokens before."""
@@ -346,11 +574,7 @@ def _pair_bounds(model: Model, mass: np.ndarray, parts: int) -> np.ndarray:
         before = sums[k - 1] if k else upto[i]
         return int(model.word_base[i] + k + 1), float((rank - before) / max(1, sums[k] - before))
 
-    out = []
-    for q in range(1, parts):
-        first, share = word(total * q / parts)
-        out.append(first << 32 | word(total * share)[0])
-    return np.array(sorted(out), np.uint64)
+    return word
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -378,7 +602,13 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 base = np.log10((counts + 1) / (model.tokens + model.vocabulary + 1))[back]
                 known = (counts > 0).astype(np.int64)[back]
                 keys, at = np.unique(pairs_of(ids), return_inverse=True)
-                own = np.log10(model.probabilities(keys))[at]
+                count, rank = model.find(keys)
+                own = model.probabilities(keys, count)[at]
+                if model.order > 2:
+                    has, triple = triples_of(ids, rank[at])
+                    triple, one, of = np.unique(triple, return_index=True, return_inverse=True)
+                    own[has] = model.after_pairs(triple, own[has][one])[of]
+                own = np.log10(own)
                 part = batch.slice(chunk.lo, chunk.hi - chunk.lo)
                 n = len(stop)
                 results = [pa.array(stop - begin), pa.array(np.add.reduceat(known, begin)), pa.array(np.full(n, model.tokens, np.int64)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(own, begin))]

@@ -38,7 +38,7 @@ def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm import kneser_ney as N
 
     documents = _table(spark, sf_dir, "documents").select("doc_id", N.held_out().alias("held_out"), "text")
-    return N.score(documents, N.train(documents.where("not held_out")))
+    return N.score(documents, N.train(documents.where("not held_out"), order=3))
 
 
 def op4_context_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
