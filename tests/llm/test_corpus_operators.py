@@ -387,6 +387,17 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(docs.limit(0))[0].collect() == []
 
 
+def test_near_duplicates_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    third = " ".join(f"u{i}" for i in range(60))
+    gone = [(None, text, 1), (None, text + " end", 2), (5, third + " end", 3), (None, other, 4)]
+    stay = [(9, text, 5), (9, "another text of this id", 6), (4, third, 7), (5, "one more of that", 8), (None, None, 9), (None, None, 10), (None, "!", 11)]
+    docs = spark.createDataFrame([*gone, *stay, (None, other, 4)], "doc_id long, text string, _key long")
+    left = Counter(map(tuple, minhash.deduplicated(docs).collect()))
+    assert left == Counter([*stay, gone[3]])
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(9)
     shingle = np.sort(rng.integers(1, 1 << 62, 60).astype(np.uint64))

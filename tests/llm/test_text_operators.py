@@ -7,6 +7,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -174,6 +175,13 @@ def test_rows_with_one_id_stay_apart(spark):
     assert sorted((r.doc_id or 0, r.n_words, r.n_hit) for r in rows) == [(0, 2, 2), (1, 1, 0), (1, 3, 2), (1, 3, 2)]
 
 
+def test_rows_go_for_their_own_text_alone(spark):
+    rows = [(1, "a b c"), (1, "c"), (None, "a b"), (None, "clean"), (None, None), (2, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = decontaminate.uncontaminated(docs, spark.createDataFrame([(7, "a b")], "item_id long, text string"))
+    assert Counter(map(tuple, left.collect())) == Counter([rows[1], *rows[3:]])
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x x blue x green"), (2, "red " + "x " * 30 + "blue green"), (3, "green blue red"), (4, "red blue")], "doc_id long, text string")
     tests = decontaminate.TestSet(spark.createDataFrame([(1, "red blue green")], "item_id long, text string"), "item_id", "text")

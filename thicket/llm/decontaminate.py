@@ -160,10 +160,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """The rows of ``docs`` (all columns) that hold no test window; rows with a null doc_id are kept if
-    no row with a null doc_id is hit."""
-    found, _ = contamination(docs, benchmark, width)
+    """The rows of ``docs`` (all columns) that hold no test window. Each row is judged by its own text, known
+    by a 64-bit hash, whatever rows share its doc_id."""
+    own = F.xxhash64(F.col("text").cast("string"))
+    found, _ = contamination(docs.select(own.alias("doc_id"), "text"), benchmark, width)
     hit = fresh(docs, "_hit")
     bad = found.where("contaminated").select(F.col("doc_id").alias(hit)).distinct()
     bad = _small(bad, bad.count())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(hit)), "left_anti")
+    return docs.join(bad, own == F.col(hit), "left_anti")

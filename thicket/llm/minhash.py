@@ -283,14 +283,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` (all columns) but for near duplicates of a smaller doc_id; of rows that repeat a
-    doc_id one stays. Rows with a null doc_id stay."""
-    found, _ = near_duplicates(docs, doc_id, text, threshold)
-    name = fresh(docs, "_gone")
-    gone = found.where("not kept").select(F.col(doc_id).alias(name)).distinct()
+    """The rows of ``docs`` (all columns) but for near duplicates of a row with a smaller doc_id, null being the
+    largest. Each row is judged by its own text, so different texts that share a doc_id stay. Of rows that
+    repeat doc_id and text one stays, but all that have neither a doc_id nor words.
+
+    A row's key is a 64-bit hash of its doc_id and text.
+    """
+    own = F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), F.col(text).cast("string"))
+    name = fresh(docs, "_key")
+    found, _ = near_duplicates(docs.select(own.alias("key"), F.col(text).alias("text")), "key", "text", threshold)
+    ids = docs.select(own.alias("key"), F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), own.alias("key")).alias("order"))
+    members = found.select("key", "component_id").distinct().join(ids.distinct(), "key")
+    first = members.groupBy("component_id").agg(F.min("order").alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone, _ = written(members.join(first, "component_id").where("key <> first.key").select(F.col("key").alias(name)), "gone")
     if gone.count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)
-    left = docs.join(gone, F.col(doc_id) == F.col(name), "left_anti")
-    if docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty():
+    left = docs.join(gone, own == F.col(name), "left_anti")
+    if docs.groupBy(own).count().where("count > 1").isEmpty():
         return left
-    return left.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionAll(left.where(F.col(doc_id).isNull()))
+    once = F.col(doc_id).isNotNull() | F.coalesce(F.col(text).cast("string").rlike(r"[\p{L}\p{N}\p{M}]"), F.lit(False))
+    return left.where(once).withColumn(name, own).dropDuplicates([name]).drop(name).unionAll(left.where(~once))
