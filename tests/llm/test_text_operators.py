@@ -187,3 +187,28 @@ def test_proximity(spark):
     tests = decontaminate.TestSet(spark.createDataFrame([(1, "red blue green")], "item_id long, text string"), "item_id", "text")
     index, _ = decontaminate.build_index(docs, "doc_id", "text", tests.vocabulary, tests.n_words)
     assert {r.doc for r in decontaminate.proximity_matches(index, tests, 6).collect()} == {1, 3}
+
+
+def test_proximity_by_windows(spark):
+    rng = random.Random(4)
+    item = [f"t{i}" for i in range(40)]
+    short = ["p", "q", "p", "r"]
+    shuffled = rng.sample(item[:10], 10)
+    texts = [" ".join(x) for x in (["x"] * 9 + item, item[15:25], ["x", *shuffled, "x"], item[:9], ["q", "x", "r", "p"], *(rng.choices(item[:12] + short, k=rng.randint(1, 80)) for _ in range(30)))]
+    tests = decontaminate.TestSet(spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string"), "item_id", "text")
+    index, _ = decontaminate.build_index(table(spark, texts), "doc_id", "text", tests.vocabulary, tests.n_words)
+    name = {r.item: int(r.item_id) for r in tests.items.collect()}
+    term = {r.word: r.term for r in tests.vocabulary.collect()}
+    n = Counter(w for t in texts for w in t.split())
+    got = {(r.doc, name[r.item], r.start, r["at"]) for r in decontaminate.proximity_matches(index, tests).collect()}
+    want = set()
+    for doc, text in enumerate(texts):
+        words = text.split()
+        for item_id, own in ((1, item), (2, short)):
+            for start in range(max(1, len(own) - 9)):
+                window = set(own[start : start + 10])
+                rarest = min(window, key=lambda w: (n[w], term[w]))
+                want |= {(doc, item_id, start, at) for at, w in enumerate(words) if w == rarest and window <= set(words[max(0, at - 20) : at + 21])}
+    assert got == want
+    assert {(0, 1, start) for start in range(31)} | {(1, 1, 15), (2, 1, 0)} <= {x[:3] for x in got}
+

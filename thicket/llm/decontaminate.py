@@ -117,20 +117,26 @@ def phrase_matches(index: DataFrame, tests: TestSet, width: int = 10) -> tuple[D
     return runs.where(F.col("last") - F.col("first") + 1 >= F.least(F.lit(width), F.col("length"))).select("row", "doc", "item", "shift", "first", "last"), [at1, at2]
 
 
-def proximity_matches(index: DataFrame, tests: TestSet, within: int = 20) -> DataFrame:
-    """Rows (row, doc, item, at): item's rarest term stands at ``at`` and each other term of the item no
-    more than ``within`` words from it, in any order."""
+def proximity_matches(index: DataFrame, tests: TestSet, within: int = 20, width: int = 10) -> DataFrame:
+    """Rows (row, doc, item, start, at): of item's window of ``width`` words (or the whole of a shorter item)
+    that begins at ``start``, the rarest term stands at ``at`` and each other term no more than ``within``
+    words from it, in any order. ``within`` is at least what lets a verbatim window match."""
+    within = max(within, width - 1)
     frequency = index.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("n"))
-    terms = tests.positions.select("item", "term").distinct().join(frequency, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = terms.groupBy("item").agg(F.min_by("term", F.struct("n", "term")).alias("anchor"), F.count("*").alias("terms"), F.min("n").alias("least"))
+    size = F.least(F.col("length"), F.lit(width))
+    start = F.explode(F.sequence(F.greatest(F.col("at") - size + 1, F.lit(0)), F.least(F.col("at"), F.col("length") - size)))
+    each = tests.positions.join(_small(frequency, tests.n_words), "term", "left").withColumn("n", F.coalesce("n", F.lit(0))).select("item", "term", "n", start.alias("start"))
+    windows = each.groupBy("item", "start").agg(F.min(F.struct("n", "term")).alias("rarest"), F.collect_set("term").alias("terms")).where("rarest.n > 0")
+    own = windows.groupBy("item", F.col("rarest.term").alias("anchor")).agg(F.collect_list(F.struct("start", "terms")).alias("windows"))
     stride = within + 1
     postings = index.where(F.col("term") != END).withColumn("cell", F.floor(F.col("at") / stride))
-    anchors = postings.join(_small(rarest.where("least > 0"), tests.n_words), F.col("term") == F.col("anchor")).select("row", "doc", "item", "terms", F.col("at").alias("centre"), "cell")
+    anchors = postings.join(_small(own.select("item", "anchor"), tests.n_positions), F.col("term") == F.col("anchor")).select("row", "doc", "item", "anchor", F.col("at").alias("centre"), "cell")
     around = anchors.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    others = postings.join(_small(terms.select("item", "term"), tests.n_positions), "term").select("row", "item", "term", "at", "cell")
+    others = postings.join(_small(tests.positions.select("item", "term").distinct(), tests.n_positions), "term").select("row", "item", "term", "at", "cell")
     met = around.join(others, ["row", "item", "cell"]).where(F.abs(F.col("at") - F.col("centre")) <= within)
-    full = met.groupBy("row", "doc", "item", "centre", "terms").agg(F.count_distinct("term").alias("n")).where("n = terms")
-    return full.select("row", "doc", "item", F.col("centre").alias("at"))
+    found = met.groupBy("row", "doc", "item", "anchor", "centre").agg(F.collect_set("term").alias("found")).join(_small(own, tests.n_positions), ["item", "anchor"])
+    whole = F.filter("windows", lambda w: F.size(F.array_except(w["terms"], F.col("found"))) == 0)
+    return found.select("row", "doc", "item", F.explode(whole).alias("w"), F.col("centre").alias("at")).select("row", "doc", "item", "w.start", "at")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, list[str]]:
