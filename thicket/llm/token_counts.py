@@ -1,9 +1,10 @@
-"""Token counts: count the pieces of each distinct pre-token once, join the counts to the documents'
-pre-token frequencies and sum; the ids of a document are never put together.
+"""Token counts: the pieces of a document's pre-tokens, summed; the ids of a document are never put together.
 
-The join is local to a chunk of documents, so nothing is shuffled at any size: a chunk's distinct
-pre-tokens are looked up in a bounded cache that a Python worker keeps across chunks and tasks, and only
-those not found there go through the tokenizer.
+Each occurrence of a pre-token looks its count up in a bounded cache that a Python worker keeps across chunks
+and tasks; a chunk's distinct pre-tokens that aren't found there go through the tokenizer. This replaces a join
+of per-document pre-token frequencies to one table of distinct pre-tokens: nothing is shuffled at any size, but
+a pre-token is tokenized again in each worker and after its slot was taken. Pre-tokens are told apart by 64-bit
+hashes. README has the join's figures.
 """
 
 from __future__ import annotations
