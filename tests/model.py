@@ -73,8 +73,9 @@ def number_first(s, missing_before_text):
 
 
 def normalize(doc):
-    """(tree by path, counters): what stays, as {path: (parent path, position)}."""
+    """What stays, as {path: (parent path, position, visits, modified)}; counters; paths in arena order; the log."""
     roots, arena = build(doc)
+    log = []
     gone = set()
     groups = {}
     for n in arena:
@@ -85,6 +86,10 @@ def normalize(doc):
         members.sort(key=lambda n: (n.depth, (1 << 64) - 1 if u64(n.get("date_added")) is None else u64(n.get("date_added")), number_first(n.get("id"), True), (n.get("guid") is not None, n.get("guid") or ""), n.arena))
         members[0].members = members
         merged += len(members) - 1
+    for key in sorted(groups, key=str.encode):
+        if len(members := groups[key]) > 1:
+            log.append({"type": "folder_merge_planned", "normalized_name": key, "group_size": len(members)})
+            log.append({"type": "folder_merged", "normalized_name": key, "winner_path": members[0].path, "losers": [m.path for m in members[1:]]})
     moved = {}
     for members in groups.values():
         for m in members[1:]:
@@ -111,16 +116,18 @@ def normalize(doc):
     for n in arena:
         if n in gone or n.get("type") != "folder":
             continue
-        best = {}
+        best, seen = {}, {}
         for at, c in enumerate(n.children):
             if c.get("type") == "url" and c.get("url") is not None:
                 rank = (-(c.get("visit_count") or 0), -(u64(c.get("date_last_used")) or 0), u64(c.get("date_added")) or 0, number_first(c.get("id"), False), at)
                 k = canonical(c.get("url"))
+                seen[k] = seen.get(k, 0) + 1
                 if k not in best or rank < best[k][0]:
                     best[k] = (rank, c)
         keep = {id(c) for _, c in best.values()}
         left = [c for c in n.children if c.get("type") != "url" or c.get("url") is None or id(c) in keep]
         dropped += len(n.children) - len(left)
+        log += [{"type": "url_deduped", "folder_path": n.path, "canonical_url": k, "removed": seen[k] - 1} for k in sorted(seen, key=str.encode) if seen[k] > 1]
         n.children = left
     pruned = 0
 
@@ -132,6 +139,7 @@ def normalize(doc):
                 if not c.children:
                     n.children.remove(c)
                     pruned += 1
+                    log.append({"type": "folder_pruned", "folder_path": c.path})
 
     out = {}
 
@@ -153,4 +161,16 @@ def normalize(doc):
         out[r.path] = (None, i, r.get("visit_count"), r.get("date_modified"))
         order(r)
     counts = {"folders_seen": sum(n.get("type") == "folder" for n in arena), "urls_seen": sum(n.get("type") == "url" for n in arena), "folders_merged": merged, "urls_deduped": dropped, "folders_pruned": pruned}
-    return out, counts, [n.path for n in arena]
+    names = [n.get("name") for n in arena if n.path in out and n.get("type") == "folder" and n.get("name") is not None]
+    return out, counts, [n.path for n in arena], whole_log(log, counts, {k: names.count(k) for k in sorted(names, key=str.encode)})
+
+
+def whole_log(steps, counts, registry):
+    """The steps between the phases' starts and ends; scc_computed is left to the tests of components."""
+    of = lambda *kinds: [e for e in steps if e["type"] in kinds]
+    start, end = (lambda n: {"type": "phase_started", "name": n}), (lambda n: {"type": "phase_finished", "name": n})
+    log = [start("parse_and_index"), end("parse_and_index"), start("scc"), end("scc"), start("folder_merge_iteration_1"), *of("folder_merge_planned", "folder_merged")]
+    log += [start("per_folder_url_dedup"), *of("url_deduped"), end("per_folder_url_dedup"), start("prune_empty"), *of("folder_pruned"), end("prune_empty"), start("rebuild_check")]
+    if registry:
+        log.append({"type": "folder_counts", "counts": registry})
+    return [*log, end("folder_merge_iteration_1_complete"), start("final_rebuild"), end("final_rebuild"), {"type": "finished", "stats": counts}]

@@ -6,10 +6,12 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from thicket import cli
 from thicket.functions.text import canonical_url, u64
 from thicket.operators import nodes as N, order, scc, validate
+from thicket.operators.groups import join_groups, numbered
 from thicket.plans.normalize import normalize
 from thicket.sources import documents as D
 
@@ -60,7 +62,7 @@ def random_forest(rng):
 
 def test_random_forests_equal_the_sequential_model(spark):
     rng = random.Random(12)
-    docs = {f"d{i}": random_forest(rng) for i in range(150)}
+    docs = {f"d{i}": random_forest(rng) for i in range(80)}
     frame = docs_of(spark, docs)
     nodes = D.flatten(frame)
     places: dict = {}
@@ -71,8 +73,13 @@ def test_random_forests_equal_the_sequential_model(spark):
     for r in result.nodes.collect():
         got[r.doc_id][r.path] = (r.new_parent, r.position, r.visit_count, r.date_modified)
     stats = {r.doc_id: {k: v for k, v in r.asDict().items() if k != "doc_id"} for r in result.stats.collect()}
+    logs: dict = {k: [] for k in docs}
+    for r in result.events.orderBy("doc_id", "seq").collect():
+        assert r.seq == 1 + len(logs[r.doc_id]) and json.loads(r.payload)["type"] == r.type
+        logs[r.doc_id].append(json.loads(r.payload))
     for k, doc in docs.items():
-        tree, counts, arena = model.normalize(doc)
+        tree, counts, arena, log = model.normalize(doc)
+        assert [e for e in logs[k] if e["type"] != "scc_computed"] == log, k
         assert places[k] == {p: i + 1 for i, p in enumerate(arena)}
         assert got[k] == tree, k
         assert stats[k] == counts
@@ -140,7 +147,8 @@ def test_small_graphs(spark, edges, want):
     assert {r.key: (r.component, r.component_size, r.is_cyclic) for r in scc.strongly_connected(v, e).collect()} == want
 
 
-def test_random_graphs(spark):
+@pytest.mark.parametrize("local_edges", [scc.LOCAL_EDGES, 0])
+def test_random_graphs(spark, local_edges):
     rng = random.Random(7)
     rows, keys = [], []
     for d in range(12):
@@ -158,11 +166,60 @@ def test_random_graphs(spark):
                     todo.append(b)
         reach[d, k] = seen
     want = {(d, k): min([k, *(j for j in reach[d, k] if k in reach[d, j])]) for d, k in keys}
-    got = scc.strongly_connected(spark.createDataFrame(keys, "doc_id string, key int"), spark.createDataFrame(rows, "doc_id string, src int, dst int")).collect()
+    got = scc.strongly_connected(spark.createDataFrame(keys, "doc_id string, key int"), spark.createDataFrame(rows, "doc_id string, src int, dst int"), local_edges).collect()
     assert {(r.doc_id, r.key): r.component for r in got} == want
     assert all(r.is_cyclic == (r.key in reach[r.doc_id, r.key]) for r in got)
 
 
+def test_a_long_chain_ends_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(scc, "staged", lambda df, name, staged=scc.staged: rounds.append(name) or staged(df, name))
+    n = 400
+    key = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 40))
+    edges = spark.range(n).select(F.lit("d").alias("doc_id"), key(F.col("id")).alias("src"), key(F.col("id") + 1).alias("dst"))
+    back = spark.createDataFrame([(n, n - 5)], "a long, b long").select(F.lit("d").alias("doc_id"), key(F.col("a")).alias("src"), key(F.col("b")).alias("dst"))
+    vertices = spark.range(n + 1).select(F.lit("d").alias("doc_id"), key(F.col("id")).alias("key"))
+    sizes = sorted(r.component_size for r in scc.strongly_connected(vertices, edges.unionAll(back), 0).collect())
+    assert sizes == [1] * (n - 5) + [6] * 6
+    assert rounds.count("scc-bridge") <= 20
+
+
+def test_places_and_joins_in_large_groups(spark):
+    rng = random.Random(2)
+    data = [(rng.choice([None, "a", "a", "a", "b"]), rng.choice([None, 1, 2, 3]), i) for i in range(400)]
+    rows = spark.createDataFrame(data, "g string, o int, i int").repartition(7)
+    place = {}
+    for kind, most in (("window", 10_000), ("ranges", 5)):
+        place[kind] = {r.i: r.n for r in numbered(rows, ["g"], [F.col("o"), F.col("i")], "n", 1, most).collect()}
+    assert place["window"] == place["ranges"] and len(place["window"]) == 400
+    known = rows.where("g is not null")
+    groups = known.groupBy("g", "o").agg(F.count("*").alias("n"), F.sum("i").alias("s")).where("o is not null")
+    got = sorted(tuple(r) for r in join_groups(known.select("g", "o", "i"), groups, ["g", "o"], "n").collect())
+    want = sorted(tuple(r) for r in known.select("g", "o", "i").join(groups, ["g", "o"]).collect())
+    assert got == want
+
+
+@pytest.mark.parametrize("n", [3, 300])
+def test_documents_written_one_a_file(spark, tmp_path, n):
+    names = {f"a {i}/ä+%41={i}" if i % 2 else f"{i}": json.dumps(bar(url(f"http://{i}")), indent=2) for i in range(n)}
+    D.write_documents(spark.createDataFrame(list(names.items()), "doc_id string, text string"), str(tmp_path / "out"))
+    files = [f for f in (tmp_path / "out").rglob("part-*")]
+    assert len(files) == n and all(json.loads(f.read_text()) for f in files)
+    back = D.read_documents(spark, str(tmp_path / "out"))
+    assert {r.doc_id: json.loads(r.text) for r in back.collect()} == {k: json.loads(v) for k, v in names.items()}
+    assert D.schema_violations(back).count() == 0
+
+
+def test_only_subtrees_of_folders_count(spark):
+    odd = {"type": "other", "children": [folder("x"), folder("x", folder("y", url("b"), url("b")))]}
+    doc = {"roots": {"r": {"type": "folder", "children": [odd, folder("X", url("c"))]}}}
+    nodes = D.flatten(docs_of(spark, {"d": doc})).withColumn("new_parent", F.col("parent_id"))
+    assert validate.violations(nodes).collect() == []
+    doc["roots"]["r"]["children"][0]["type"] = "folder"
+    nodes = D.flatten(docs_of(spark, {"d": doc})).withColumn("new_parent", F.col("parent_id"))
+    assert sorted(r.rule for r in validate.violations(nodes).collect()) == ["duplicate_child_folder", "duplicate_url", "empty_folder", "folder_name_not_unique"]
+
+
 def test_schema_violations(spark):
     docs = {
         "good": bar(folder("a", url("http://a", date_added="1", visit_count=0, show_icon=True, source="sync"))),
@@ -205,6 +262,7 @@ def test_registry(spark):
     registry = order.folder_registry(nodes)
     assert {(r.name, r.n) for r in registry.collect()} == {("a", 2), ("A", 1)}
     assert [r.all_unique for r in order.all_unique(registry).collect()] == [False]
+    assert [r.line for r in order.registry_report(registry).orderBy("place").collect()] == ["A            | 1", "a            | 2", "all unique: false"]
 
 
 def test_commands(spark, tmp_path, capsys):
@@ -218,14 +276,13 @@ def test_commands(spark, tmp_path, capsys):
     lines = [json.loads(x) for f in sorted((tmp_path / "log").glob("part-*")) for x in f.read_text().splitlines()]
     assert lines[0] == {"type": "phase_started", "name": "parse_and_index"} and lines[-1]["type"] == "finished"
     assert cli.run(spark, ["normalize", "--in", str(source), "--out", str(target)]) == 0
-    first = sorted(f.read_text() for f in target.glob("part-*"))
-    for f in [*target.glob("_SUCCESS"), *target.glob(".*")]:
-        f.unlink()
+    first = sorted(f.read_text() for f in target.glob("document=one.json/part-*"))
+    assert len(first) == 1
     assert cli.run(spark, ["validate", "--in", str(target)]) == 0
     with pytest.raises(SystemExit, match="backup"):
         cli.run(spark, ["normalize", "--in", str(source), "--out", str(source)])
     assert cli.run(spark, ["normalize", "--in", str(source), "--out", str(source), "--backup"]) == 0
-    assert sorted(f.read_text() for f in source.glob("part-*")) == first
+    assert sorted(f.read_text() for f in source.glob("document=one.json/part-*")) == first
     assert len(list(tmp_path.glob("in.bak.*"))) == 1
     for bad in ([], ["what"], ["normalize"], ["normalize", "--in", str(source)]):
         with pytest.raises(SystemExit):

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from thicket.operators.events import write_events
+from thicket.operators.order import registry_report
 from thicket.operators.validate import first_violation
 from thicket.plans.normalize import normalize
 from thicket.sources import documents as D
@@ -20,7 +21,7 @@ def parser() -> argparse.ArgumentParser:
     one = commands.add_parser("normalize", help="merge, deduplicate, prune and order")
     one.add_argument("--in", "--input", dest="source", required=True)
     one.add_argument("--out", "--output", dest="target")
-    one.add_argument("--emit-events", metavar="PATH", help="write the log here, one JSON object a line")
+    one.add_argument("--emit-events", metavar="PATH", nargs="?", const="-", help="print the log, or write it to PATH, one JSON object a line")
     one.add_argument("--backup", action="store_true", help="copy the input first; needed to write over it")
     one.add_argument("--dry-run", action="store_true", help="write nothing but the log")
     two = commands.add_parser("validate", help="check schemas and invariants")
@@ -57,10 +58,15 @@ def run(spark: SparkSession, args: list[str]) -> int:
         print(source, file=sys.stderr)
     docs = _checked(spark, source)
     result = normalize(D.flatten(docs))
-    if given.emit_events:
+    if given.emit_events == "-":
+        for r in result.events.orderBy("doc_id", "seq").select("payload").toLocalIterator():
+            print(r["payload"])
+    elif given.emit_events:
         write_events(result.events, given.emit_events)
     if not given.dry_run:
-        D.write_documents(D.nest(docs, result.nodes), given.target)
+        D.write_documents(D.nest(docs, result.nodes), given.target, D.qualified(spark, source))
+    for r in registry_report(result.registry).orderBy("doc_id", "place").toLocalIterator():
+        print(f"{r['doc_id']}: {r['line']}", file=sys.stderr)
     total = result.stats.groupBy().sum().first().asDict()
     print(", ".join(f"{k[4:-1]}={v or 0}" for k, v in total.items()), file=sys.stderr)
     return 0

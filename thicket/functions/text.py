@@ -37,13 +37,12 @@ def _nfc(names: pd.Series) -> pd.Series:
 def with_merge_key(df: DataFrame, name: str, key: str) -> DataFrame:
     """``df`` with the name's merging key: normal form C, trimmed, lower-cased.
 
-    Only the distinct names with other than ASCII characters, the sole ones that the normal form can
-    change, go through Python; they are joined back.
+    Only rows whose name has other than ASCII characters, the sole ones that the normal form can change, go
+    through Python; nothing is shuffled. A null name has a null key.
     """
-    odd = df.where(F.col(name).rlike(r"[^\x00-\x7F]")).select(F.col(name).alias("_odd")).distinct()
-    forms = odd.select("_odd", _nfc("_odd").alias("_form"))
-    joined = df.join(forms, F.col(name) == F.col("_odd"), "left")
-    return joined.withColumn(key, plain_key(F.coalesce("_form", name))).drop("_odd", "_form")
+    odd = F.coalesce(F.col(name).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    plain = df.where(~odd).withColumn(key, plain_key(F.col(name)))
+    return plain.unionByName(df.where(odd).withColumn(key, plain_key(_nfc(name))))
 
 
 def canonical_url(url: Column) -> Column:

@@ -1,8 +1,8 @@
 """Merging of equally named folders across a document.
 
 A winner is the least of its group in an order that merging never changes, and no winner loses elsewhere,
-so one aggregation and one join do it all. Groups are aggregated before the shuffle, never sorted, so a
-name that very many folders share is no one task's burden.
+so one aggregation and one join do it all. Groups are aggregated before the shuffle, never sorted, and large
+ones are joined back by broadcast, so a name that very many folders share is no one task's burden.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.functions.text import U64_MAX, u64, with_merge_key
+from thicket.operators.groups import join_groups
 from thicket.operators.nodes import FOLDER, arena
+from thicket.plans.staging import staged
 
 
 def _number(value: int) -> Column:
@@ -50,9 +52,10 @@ def merge_folders(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Winners carry their group's visit_count and date_modified; a loser's other fields go. Children of
     losers follow the winner's own, in order of the losers' rank.
     """
-    folders = eligible(nodes)
-    groups = winners(folders)
-    placed = folders.select("doc_id", "key", "node_id", "path", "rank").join(groups, ["doc_id", "key"])
+    folders = staged(eligible(nodes).select("doc_id", "key", "node_id", "path", "rank", "visit_count", "date_modified"), "folders")
+    groups = staged(winners(folders), "groups")
+    placed = join_groups(folders.drop("visit_count", "date_modified"), groups, ["doc_id", "key"], "group_size")
+    placed = staged(placed.select("doc_id", "key", "node_id", "path", "rank", "winner", "winner_path", "visits", "modified"), "placed")
     fate = placed.select("doc_id", "node_id", "winner", "rank", "visits", "modified")
     own = fate.select("doc_id", "node_id", F.col("winner").alias("own_winner"), "visits", "modified")
     parent = fate.select("doc_id", F.col("node_id").alias("parent_id"), F.col("winner").alias("parent_winner"), F.col("rank").alias("parent_rank"))

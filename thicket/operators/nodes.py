@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from thicket.operators.groups import numbered
 
 FOLDER, URL = "folder", "url"
 COLUMNS = (
@@ -30,7 +31,7 @@ def arena() -> Column:
 
 def arena_order(nodes: DataFrame) -> DataFrame:
     """(doc_id, path, position): places counted from 1 in each document."""
-    return nodes.select("doc_id", "path", F.row_number().over(Window.partitionBy("doc_id").orderBy(arena())).alias("position"))
+    return numbered(nodes.select("doc_id", "path", arena().alias("turn")), ["doc_id"], [F.col("turn")], "position", 1).drop("turn")
 
 
 def input_counts(nodes: DataFrame) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.functions.text import canonical_url as canonical, u64
+from thicket.operators.groups import numbered
 from thicket.operators import dedup, merge, nodes as N, order, prune, scc, validate
 from thicket.plans.normalize import normalize
-from thicket.plans.staging import staged
-from thicket.sources import derived
+from thicket.plans.staging import shared_root, staged
+from thicket.sources import derived, documents as D
 from thicket.sources.derived import functional_graph
 
 
@@ -125,7 +127,16 @@ def viol_global_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def viol_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _violations(spark, sf_dir, "empty_folder").select("path")
+    """Without the entries of every other segment folder."""
+    nodes = forest(spark, sf_dir).where("depth < 3 or idx[1] % 2 = 0").withColumn("new_parent", F.col("parent_id"))
+    return validate.violations(nodes).where("rule = 'empty_folder'").select("path")
+
+
+def viol_folders_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With every other nation turned into something else than a folder."""
+    kind = F.when((F.col("depth") == 1) & (F.col("child_pos") % 2 == 1), "other").otherwise(F.col("type"))
+    nodes = forest(spark, sf_dir).withColumns({"type": kind, "new_parent": F.col("parent_id")})
+    return validate.violations(nodes).select("rule", "path", "detail")
 
 
 def viol_dup_child(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +150,9 @@ def viol_dup_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def violations_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize(forest(spark, sf_dir)).violations.select("detail")
+    """With roots that bear a segment's name, which merging leaves alone."""
+    nodes = forest(spark, sf_dir).withColumn("name", F.when(F.col("depth") == 0, F.lit(" Building")).otherwise(F.col("name")))
+    return normalize(nodes).violations.select("rule", "detail")
 
 
 def identity_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +186,45 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(forest(spark, sf_dir)).events.groupBy("type").agg(F.count("*").alias("n"))
 
 
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize(forest(spark, sf_dir)).events.drop("doc_id")
+
+
+def prune_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed folders in post-order, of a forest whose entries all hang below a sixth of the segments."""
+    none = F.when(F.lit(False), merge.folder_rank())  # as where nothing was merged
+    nodes = forest(spark, sf_dir).where("depth < 3 or (idx[0] + 2 * idx[1]) % 6 = 0").withColumns({"new_parent": F.col("parent_id"), "child_order": F.struct(none.alias("parent_rank"), "child_pos")})
+    nodes = staged(nodes, "unique")
+    _, gone = prune.prune_empty(nodes)
+    return numbered(prune.postorder(staged(gone, "gone"), nodes), ["doc_id"], [F.col("top"), F.col("turn")], "seq", 1).select("seq", "path")
+
+
+def registry_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.registry_report(order.folder_registry(_left(spark, sf_dir))).drop("doc_id")
+
+
+_NODE = ("type", "name", "url", "id", "date_added", "date_modified", "date_last_used", "visit_count")
+
+
+def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.flatten(derived.json_documents(spark, sf_dir)).select("doc_id", "path", "parent_id", "root_key", "depth", "child_pos", *_NODE)
+
+
+def json_schema_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = D.schema_violations(derived.faulty_documents(spark, sf_dir))
+    return found.select("doc_id", "place", "path", F.substring_index("error", ":", 1).alias("error"))
+
+
+def document_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON documents flattened, normalised, nested, written, read, checked and flattened again."""
+    docs = derived.json_documents(spark, sf_dir)
+    target = f"{shared_root(spark).rstrip('/')}/forest/documents-{uuid.uuid4().hex}"
+    D.write_documents(D.nest(docs, normalize(D.flatten(docs)).nodes), target)
+    back = D.read_documents(spark, target)
+    wrong = D.schema_violations(back).select("doc_id").distinct()
+    return D.flatten(back.join(wrong, "doc_id", "left_anti")).select("doc_id", "path", *_NODE)
+
+
 def normalized_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(forest(spark, sf_dir)).nodes.select("path", "new_parent", "position", "type", "name", "url", "id", "date_added", "date_modified", "date_last_used", "visit_count")
 
@@ -180,7 +232,8 @@ def normalized_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     canonical_url, u64_parse, folder_key, input_counts, flatten_nodes, arena_order, folder_winner, folder_merge_map, folder_merge_attrs, merged_from, merge_events, url_dedup,
     url_dedup_counts, prune_keep, prune_removed, sibling_order, folder_registry, all_unique, viol_global_unique, viol_empty, viol_dup_child, viol_dup_url, violations_left,
-    identity_vertices, identity_edges, identity_scc, scc_labels, scc_summary, stats, event_counts, normalized_nodes,
+    identity_vertices, identity_edges, identity_scc, scc_labels, scc_summary, stats, event_counts, event_log, prune_order, registry_report, viol_folders_only,
+    json_flatten, json_schema_errors, document_round_trip, normalized_nodes,
 )
 
 

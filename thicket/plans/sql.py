@@ -50,6 +50,25 @@ IDENTITY = f"""{NODES},
 ident AS (SELECT path, parent_id, coalesce(id, 'path:' || path) AS key FROM nodes WHERE type = 'folder'),
 edges AS (SELECT DISTINCT p.key AS src, c.key AS dst FROM ident c JOIN ident p ON c.parent_id = p.path)"""
 
+COPY = "'copy ' || copy || '/100%'"
+
+#: The whole log; its payloads are compact JSON with fields in a fixed order.
+LOG = f"""{KEPT},
+ident AS (SELECT path, parent_id, coalesce(id, 'path:' || path) AS key FROM nodes WHERE type = 'folder'),
+edges AS (SELECT DISTINCT p.key AS src, c.key AS dst FROM ident c JOIN ident p ON c.parent_id = p.path),
+gone AS (SELECT path, position FROM deduped WHERE type = 'folder' AND path NOT IN (SELECT path FROM keep)),
+names AS (SELECT name, count(*) AS n FROM final WHERE type = 'folder' AND name IS NOT NULL GROUP BY name),
+counted AS (SELECT (SELECT count(*) FROM nodes WHERE type = 'folder') AS a, (SELECT count(*) FROM nodes WHERE type = 'url') AS b, (SELECT count(*) FROM fate WHERE winner <> path) AS c, (SELECT count(*) FROM entries WHERE place > 1) AS d, (SELECT count(*) FROM gone) AS e),
+log AS (SELECT stage, 0 AS place, '' AS name, 0 AS second, 'phase_started' AS type, '{{"type":"phase_started","name":"' || phase || '"}}' AS payload FROM (VALUES (0.0, 'parse_and_index'), (10, 'scc'), (20, 'folder_merge_iteration_1'), (30, 'per_folder_url_dedup'), (40, 'prune_empty'), (50, 'rebuild_check'), (60, 'final_rebuild')) p(stage, phase)
+  UNION ALL SELECT stage, 0, '', 0, 'phase_finished', '{{"type":"phase_finished","name":"' || phase || '"}}' FROM (VALUES (9.0, 'parse_and_index'), (19, 'scc'), (39, 'per_folder_url_dedup'), (49, 'prune_empty'), (53, 'folder_merge_iteration_1_complete'), (69, 'final_rebuild')) p(stage, phase)
+  UNION ALL SELECT 11, 0, '', 0, 'scc_computed', '{{"type":"scc_computed","nodes":' || (SELECT count(DISTINCT key) FROM ident) || ',"edges":' || (SELECT count(*) FROM edges) || ',"components":' || (SELECT count(DISTINCT key) FROM ident) || ',"cyclic_components":0}}'
+  UNION ALL SELECT 21, 0, key, 0, 'folder_merge_planned', '{{"type":"folder_merge_planned","normalized_name":"' || key || '","group_size":' || count(*) || '}}' FROM fate GROUP BY key HAVING count(*) > 1
+  UNION ALL SELECT 21, 0, key, 1, 'folder_merged', '{{"type":"folder_merged","normalized_name":"' || key || '","winner_path":"' || min(winner) || '","losers":["' || string_agg(path, '","' ORDER BY rn) FILTER (rn > 1) || '"]}}' FROM fate GROUP BY key HAVING count(*) > 1
+  UNION ALL SELECT 31, f.position, e.canon, 0, 'url_deduped', '{{"type":"url_deduped","folder_path":"' || f.path || '","canonical_url":"' || e.canon || '","removed":' || (e.n - 1) || '}}' FROM entries e JOIN nodes f ON e.new_parent = f.path WHERE e.place = 1 AND e.n > 1
+  UNION ALL SELECT 41, position, '', 0, 'folder_pruned', '{{"type":"folder_pruned","folder_path":"' || path || '"}}' FROM gone
+  UNION ALL SELECT 52, 0, '', 0, 'folder_counts', '{{"type":"folder_counts","counts":{{' || string_agg('"' || name || '":' || n, ',' ORDER BY name) || '}}}}' FROM names
+  UNION ALL SELECT 70, 0, '', 0, 'finished', '{{"type":"finished","stats":{{"folders_seen":' || a || ',"urls_seen":' || b || ',"folders_merged":' || c || ',"urls_deduped":' || d || ',"folders_pruned":' || e || '}}}}' FROM counted)"""
+
 SQUARES = """vertices AS (SELECT c_custkey AS key FROM customer), total AS (SELECT count(*) AS n FROM customer),
 edges AS (SELECT c_custkey AS src, c_custkey * c_custkey % n AS dst FROM customer CROSS JOIN total),
 reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src),
@@ -89,10 +108,14 @@ def oracle_sql() -> dict[str, str]:
         "folder_registry": _with(KEPT, "SELECT name, count(*) AS n FROM final WHERE type = 'folder' AND name IS NOT NULL GROUP BY name"),
         "all_unique": _with(KEPT, "SELECT max(n) <= 1 AS all_unique FROM (SELECT count(*) AS n FROM final WHERE type = 'folder' AND name IS NOT NULL GROUP BY name) q"),
         "viol_global_unique": _with(NODES, "SELECT lower(trim(name)) AS detail, min(path) AS path FROM nodes WHERE type = 'folder' AND name IS NOT NULL GROUP BY lower(trim(name)) HAVING count(*) > 1"),
-        "viol_empty": _with(NODES, "SELECT path FROM nodes n WHERE type = 'folder' AND depth > 0 AND NOT EXISTS (SELECT 1 FROM nodes c WHERE c.parent_id = n.path)"),
+        "viol_empty": _with(NODES, "SELECT path FROM nodes n WHERE type = 'folder' AND depth > 0 AND NOT EXISTS (SELECT 1 FROM nodes c WHERE c.parent_id = n.path AND (c.depth < 3 OR c.p2 % 2 = 0))"),
+        "viol_folders_only": _with(f"{NODES}, seen AS (SELECT * FROM nodes WHERE depth = 0 OR p1 % 2 = 0)", f"""SELECT 'folder_name_not_unique' AS rule, min(path) AS path, lower(trim(name)) AS detail FROM seen WHERE type = 'folder' AND name IS NOT NULL GROUP BY 3 HAVING count(*) > 1
+            UNION ALL SELECT 'duplicate_child_folder', parent_id, lower(trim(name)) FROM seen WHERE type = 'folder' AND depth > 0 GROUP BY 2, 3 HAVING count(*) > 1
+            UNION ALL SELECT 'duplicate_url', parent_id, {canon('url')} FROM seen WHERE type = 'url' GROUP BY 2, 3 HAVING count(*) > 1
+            UNION ALL SELECT 'empty_folder', path, NULL FROM seen n WHERE type = 'folder' AND depth > 0 AND NOT EXISTS (SELECT 1 FROM seen c WHERE c.parent_id = n.path)"""),
         "viol_dup_child": _with(MERGED, "SELECT root_key AS path, lower(trim(name)) AS detail FROM nodes WHERE type = 'folder' AND depth = 2 GROUP BY root_key, lower(trim(name)) HAVING count(*) > 1"),
         "viol_dup_url": _with(NODES, f"SELECT parent_id AS path, {canon('url')} AS detail FROM nodes WHERE type = 'url' GROUP BY 1, 2 HAVING count(*) > 1"),
-        "violations_left": _with(KEPT, "SELECT lower(trim(name)) AS detail FROM final WHERE type = 'folder' AND name IS NOT NULL GROUP BY lower(trim(name)) HAVING count(*) > 1"),
+        "violations_left": _with(KEPT, "SELECT 'folder_name_not_unique' AS rule, lower(trim(name)) AS detail FROM (SELECT name FROM final WHERE type = 'folder' AND name IS NOT NULL UNION ALL SELECT ' Building' FROM region) q GROUP BY lower(trim(name)) HAVING count(*) > 1"),
         "identity_vertices": _with(IDENTITY, "SELECT DISTINCT key FROM ident"),
         "identity_edges": _with(IDENTITY, "SELECT src, dst FROM edges"),
         "identity_scc": _with(IDENTITY, "SELECT (SELECT count(DISTINCT key) FROM ident) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT key) FROM ident) AS components, CAST(0 AS BIGINT) AS cyclic_components"),
@@ -102,5 +125,15 @@ def oracle_sql() -> dict[str, str]:
         "event_counts": _with(KEPT, """SELECT 'folder_merge_planned' AS type, count(DISTINCT key) FILTER (group_size > 1) AS n FROM fate UNION ALL SELECT 'folder_merged', count(DISTINCT key) FILTER (group_size > 1) FROM fate
             UNION ALL SELECT 'url_deduped', count(*) FROM entries WHERE place = 1 AND n > 1 UNION ALL SELECT 'folder_pruned', count(*) FROM deduped WHERE type = 'folder' AND path NOT IN (SELECT path FROM keep)
             UNION ALL SELECT 'phase_started', 7 UNION ALL SELECT 'phase_finished', 6 UNION ALL SELECT 'scc_computed', 1 UNION ALL SELECT 'folder_counts', 1 UNION ALL SELECT 'finished', 1"""),
+        "event_log": _with(LOG, "SELECT CAST(row_number() OVER (ORDER BY stage, place, name, second) AS INT) AS seq, type, payload FROM log"),
+        "prune_order": _with(f"{NODES}, own AS (SELECT * FROM nodes WHERE depth < 3 OR (p1 + 2 * p2) % 6 = 0), full_pairs AS (SELECT DISTINCT root_key, p1, p2 FROM own WHERE depth = 3)", """SELECT CAST(row_number() OVER (ORDER BY root_key, p1, coalesce(p2, 1000)) AS INT) AS seq, path FROM own o WHERE depth IN (1, 2)
+            AND NOT EXISTS (SELECT 1 FROM full_pairs f WHERE f.root_key = o.root_key AND f.p1 = o.p1 AND (o.depth = 1 OR f.p2 = o.p2))"""),
+        "registry_report": _with(f"{KEPT}, names AS (SELECT name, count(*) AS n FROM final WHERE type = 'folder' AND name IS NOT NULL GROUP BY name)", """SELECT CAST(row_number() OVER (ORDER BY last, key) AS INT) AS place, line FROM (
+            SELECT 0 AS last, name AS key, rpad(name, CAST(greatest(length(name), 12) AS INT), ' ') || ' | ' || n AS line FROM names UNION ALL SELECT 1, '', 'all unique: ' || CASE WHEN max(n) <= 1 THEN 'true' ELSE 'false' END FROM names) q"""),
+        "json_flatten": _with(NODES, f"SELECT {COPY} AS doc_id, path, parent_id, root_key, depth, child_pos, type, name, url, id, date_added, date_modified, date_last_used, visit_count FROM nodes CROSS JOIN range(3) r(copy)"),
+        "json_schema_errors": """SELECT 'page ' || page_id AS doc_id, CASE page_id % 8 WHEN 1 THEN 0 WHEN 7 THEN 0 ELSE 3 END AS place, CASE page_id % 8 WHEN 1 THEN '' WHEN 7 THEN '' ELSE 'bar/1' END AS path,
+            CASE page_id % 8 WHEN 1 THEN 'version' WHEN 2 THEN 'visit_count' WHEN 3 THEN 'date_added' WHEN 4 THEN 'guid' WHEN 5 THEN 'source' ELSE 'not JSON' END AS error FROM pages WHERE page_id % 8 NOT IN (0, 6)""",
+        "document_round_trip": _with(f"{KEPT}, down AS (SELECT path, root_key AS now FROM ordered WHERE new_parent IS NULL UNION ALL SELECT o.path, down.now || '/' || o.place FROM ordered o JOIN down ON o.new_parent = down.path)",
+            f"SELECT {COPY} AS doc_id, now AS path, type, name, url, id, date_added, date_modified, date_last_used, visit_count FROM ordered JOIN down USING (path) CROSS JOIN range(3) r(copy)"),
         "normalized_nodes": _with(KEPT, "SELECT path, new_parent, CAST(place AS INT) AS position, type, name, url, id, date_added, date_modified, date_last_used, visit_count FROM ordered"),
     }

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 _made: list[tuple[SparkSession, str]] = []
 
 
-def _root(spark: SparkSession) -> str:
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one where that is unset and all of Spark runs on
+    this machine. On a cluster without a shared folder there is no place for a table."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().getOrElse(None)
     if root is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = Path(tempfile.mkdtemp(prefix="forest-")).as_uri()
         context.setCheckpointDir(root)
     return root
@@ -35,11 +41,24 @@ def _remove_all() -> None:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder, which goes when the driver ends."""
+    """The rows as a table in the shared folder, which goes when its scope or the driver ends."""
     spark = df.sparkSession
-    path = f"{_root(spark).rstrip('/')}/forest/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/forest/{name}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_remove_all)
     _made.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables staged within go at its end: for runs that are repeated, such as micro-batches. Nothing lazy that
+    reads them may be used afterwards."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        own, _made[before:] = _made[before:], []
+        for spark, path in own:
+            _remove(spark, path)

@@ -70,3 +70,37 @@ def functional_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     doc = F.lit("squares").alias("doc_id")
     key = F.col("c_custkey")
     return customers.select(doc, key.alias("key")), customers.select(doc, key.alias("src"), (key * key % n).alias("dst"))
+
+
+def json_documents(spark: SparkSession, sf_dir: str, copies: int = 3) -> DataFrame:
+    """(doc_id, text): the derived forest as JSON, under ``copies`` ids, built without the node table's operators."""
+    register(spark, sf_dir)
+    rows = spark.sql(f"WITH {FOREST_SQL} SELECT * FROM forest")
+    known = F.to_json(F.struct("type", "name", "url", "date_added", "date_modified", "date_last_used", "visit_count", "id"))
+    opened = F.expr("substring(own, 1, length(own) - 1)")
+    rows = rows.withColumn("own", known)
+    below: DataFrame | None = None
+    place = ["root_key", "p1", "p2", "p3"]
+    for depth in (3, 2, 1, 0):
+        level = rows.where(F.col("depth") == depth)
+        text = F.col("own")
+        if below is not None:
+            level = level.join(below, place[: depth + 1], "left")
+            text = F.when(F.col("inner").isNull(), text).otherwise(F.concat(opened, F.lit(',"children":['), F.col("inner"), F.lit("]}")))
+        if depth:
+            ordered = F.transform(F.array_sort(F.collect_list(F.struct(place[depth], text.alias("text")))), lambda x: x["text"])
+            below = level.groupBy(*place[:depth]).agg(F.array_join(ordered, ",").alias("inner"))
+    one = F.concat(F.lit('"'), F.col("root_key"), F.lit('":'), text)
+    roots = level.agg(F.array_join(F.array_sort(F.collect_list(one)), ",").alias("roots"))
+    whole = F.concat(F.lit('{"checksum":"c","roots":{'), F.col("roots"), F.lit('},"version":1}'))
+    return roots.select(F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("n"), whole.alias("text")).select(F.concat(F.lit("copy "), F.col("n").cast("string"), F.lit("/100%")).alias("doc_id"), "text")
+
+
+def faulty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): a small document for each page, seven of eight with a fault of their own kind."""
+    kind = F.col("page_id") % 8
+    fault = F.when(kind == 2, '"visit_count":-1').when(kind == 3, '"date_added":"x"').when(kind == 4, '"guid":7').when(kind == 5, '"source":"?"').otherwise('"id":"1"')
+    node = F.concat(F.lit('{"type":"'), F.when(kind == 6, "odd").otherwise("url"), F.lit('","url":"'), F.col("url"), F.lit('",'), fault, F.lit(',"children":[{"type":"folder","name":1}]}'))
+    version = F.when(kind == 1, "2").otherwise("1")
+    text = F.concat(F.lit('{"roots":{"bar":{"type":"folder","children":[{"type":"separator"},'), node, F.lit(']}},"version":'), version, F.when(kind == 7, "").otherwise("}"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("doc_id"), text.alias("text"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from thicket.plans.normalize import normalize
+from thicket.plans.staging import scope
 from thicket.sources.documents import flatten, nest
 
 
@@ -20,8 +21,7 @@ def normalize_stream(spark: SparkSession, source: str, target: str, checkpoint:
     docs = files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
     def batch(frame: DataFrame, number: int) -> None:
-        nodes = flatten(frame)
-        result = normalize(nodes)
-        nest(frame, result.nodes).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={number}")
+        with scope():  # a batch's tables go with it
+            nest(frame, normalize(flatten(frame)).nodes).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={number}")
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
