@@ -17,6 +17,7 @@ import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from thicket.llm import bpe, decontaminate, idcoder, textkit as K, token_counts
@@ -114,9 +115,58 @@ def test_id_files(n, kind):
         assert len(data) < n
 
 
-def test_ids_beyond_the_format():
-    with pytest.raises(ValueError, match="65536"):
-        idcoder.pack_file(np.array([65536], np.uint32), pa.table({"doc_id": [1], "n_tokens": [1]}))
+def test_ids_of_all_sizes_and_uneven_blocks():
+    rng = np.random.default_rng(3)
+    for n in (idcoder.SHORT * 3 + 1, idcoder.BLOCK * 7 - 3):
+        ids = np.concatenate([rng.integers(0, 1 << 32, n // 2), np.arange(n - n // 2) % 11]).astype(np.uint32)
+        assert np.array_equal(idcoder.unpack_file(idcoder.pack_file(ids, pa.table({"n_tokens": [n]})))[1], ids)
+    lengths = idcoder.block_lengths(idcoder.BLOCK * idcoder.LANES + 5)
+    assert lengths.sum() == idcoder.BLOCK * idcoder.LANES + 5 and lengths.max() - lengths.min() <= 1 and lengths.max() <= idcoder.BLOCK
+
+
+def test_each_block_stands_alone():
+    ids = np.random.default_rng(4).integers(0, 300, 5000).astype(np.int32)
+    prior = idcoder.Prior(idcoder.Prior.of(np.bincount(ids)))
+    blocks, lengths = idcoder.encode_blocks(ids, prior)
+    ends = np.cumsum(lengths)
+    for i in (0, 2, len(blocks) - 1):
+        assert np.array_equal(idcoder.decode_blocks(blocks[i : i + 1], lengths[i : i + 1], prior), ids[ends[i] - lengths[i] : ends[i]])
+
+
+def sequential_cost(ids, prior):
+    """Bits of a block by the mixture, an id at a time in exact arithmetic."""
+    from fractions import Fraction
+
+    slots, weights = {}, idcoder.BEGIN.tolist()
+    x = before = 0
+    bits = 0.0
+    for new in ids:
+        own = [(o, int(v)) for o, v in enumerate(np.concatenate(idcoder._slots(np.array([x], np.int32), np.array([before], np.int32))))]
+        entry = [slots.get(k, (prior.n, 0)) for k in own]
+        at = entry[1][1] * 8 + entry[0][1]
+        w = [weights[at] & 0xFFFF, weights[at] >> 16]
+        m = [v >> 8 for v in w]
+        low, high = int(prior.upto[new]), int(prior.upto[new + 1])
+        hits = [m[o] * (entry[o][0] == new) for o in (0, 1)]
+        share = (256 - sum(m)) * (high - low) + (sum(hits) << prior.bits)
+        bits -= np.log2(share / 2 ** (prior.bits + 8))
+        for o in (0, 1):
+            target = Fraction(hits[o] * (idcoder.MOST_WEIGHT << prior.bits), share)
+            w[o] += (int(target) - w[o]) >> idcoder.SLOWNESS
+            slots[own[o]] = (new, min(7, entry[o][1] + 1 if entry[o][0] == new else 1))
+        weights[at] = w[1] << 16 | w[0]
+        before, x = x, new
+    return bits
+
+
+def test_a_block_costs_what_the_mixture_says():
+    rng = np.random.default_rng(5)
+    ids = np.concatenate([rng.integers(0, 60, 400), np.tile(rng.integers(0, 60, 25), 8)]).astype(np.int32)
+    prior = idcoder.Prior(idcoder.Prior.of(np.bincount(ids, minlength=60)))
+    blocks, lengths = idcoder.encode_blocks(ids, prior)
+    ends = np.cumsum(lengths)
+    for data, n, e in zip(blocks, lengths.tolist(), ends.tolist()):
+        assert 0 <= len(data) * 8 - sequential_cost(ids[e - n : e].tolist(), prior) < 80
 
 
 def test_stored_documents(spark):
@@ -131,6 +181,16 @@ def test_stored_documents(spark):
     assert idcoder.stored_documents(table(spark, []), JSON)[0].collect() == []
 
 
+def test_a_range_in_several_files(spark, tmp_path):
+    docs = table(spark, [*TEXTS, *["one two three four"] * 40]).withColumn("doc_id", F.expr("if(doc_id % 5 = 0, null, doc_id div 3)"))
+    files = idcoder.write_ids(docs, JSON, str(tmp_path), file_ids=1)
+    whole = idcoder.write_ids(docs, JSON, str(tmp_path / "whole"))
+    assert [sum(n) for _, n in files] == [sum(n) for _, n in whole]
+    kind = "long"
+    one, two = (sorted(map(str, idcoder.read_ids(spark, str(at), f, kind).collect())) for at, f in ((tmp_path, files), (tmp_path / "whole", whole)))
+    assert one == two and len(one) == docs.count()
+
+
 def brute_contamination(docs, items, width=10):
     lower = str.maketrans(decontaminate.UPPER, decontaminate.LOWER)
 

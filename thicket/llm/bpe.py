@@ -139,21 +139,22 @@ class IdCache:
         self.used += len(ids)
         return at
 
-    def find(self, hashes: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, hashes: np.ndarray, checks: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
         """Where each pre-token's ids begin in ``self.ids`` and how many there are; ``encode`` gets the
-        indexes of one pre-token for each hash that is missing and returns all ids and the counts."""
+        indexes of one pre-token of each kind that is missing and returns all ids and the counts."""
         if self.used > self.most:
             self.slots.clear()
             self.used = 0
-        found = self.slots.find(hashes)
+        found = self.slots.find(hashes, checks)
         missing = np.flatnonzero(found < 0)
         if len(missing):
-            distinct, first, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
-            ids, counts = encode(missing[first])
-            places = (self.add(ids) + np.cumsum(counts) - counts) << 24 | counts
+            first, back = K.distinct_spans(hashes[missing], checks[missing])
+            one = missing[first]
+            ids, counts = encode(one)
+            places = (self.add(ids) + np.cumsum(counts) - counts) << 32 | counts
             found[missing] = places[back]
-            self.slots.put(distinct, places)
-        return found >> 24, found & 0xFFFFFF
+            self.slots.put(hashes[one], checks[one], places)
+        return found >> 32, found & 0xFFFFFFFF
 
 
 class Codec:
@@ -207,12 +208,12 @@ class Codec:
         points = chunk.points
         starts = K.pretokens(points, chunk.starts)
         ends = np.append(starts[1:], len(points)) if len(starts) else starts
-        hashes = K.hash_spans(points, starts, ends)
+        hashes, checks = K.hash_and_check(points, starts, ends)
 
         def encode(at: np.ndarray):
             return self.pieces([chunk.text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], hashes[at])
 
-        first, counts = self.cache.find(hashes, encode)
+        first, counts = self.cache.find(hashes, checks, encode)
         n = K.sums(counts, np.searchsorted(starts, chunk.starts), np.searchsorted(starts, chunk.ends))
         return self.cache.ids[K.ragged(first, counts)], n
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
@@ -41,15 +41,28 @@ def powers(n: int) -> np.ndarray:
 
 def hash_spans(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each span [start, end) of ``symbols``; spans ascend, don't overlap and aren't empty."""
+    return _hashed(symbols, starts, ends, False)[0]
+
+
+def hash_and_check(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """hash_spans, and 32 bits more that tell apart spans of one hash."""
+    return _hashed(symbols, starts, ends, True)
+
+
+def _hashed(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, checked: bool) -> tuple[np.ndarray, np.ndarray]:
+    check = np.empty(0, np.uint32)
     if not len(starts):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), check
     lengths = ends - starts
     total = int(lengths.sum())
     first = np.cumsum(lengths) - lengths
     within = np.arange(total) - np.repeat(first, lengths)
     picked = symbols if total == len(symbols) else symbols[within + np.repeat(starts, lengths)]
     terms = mix64((picked.astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[within])
-    return mix64(np.add.reduceat(terms, first) + lengths.astype(np.uint64))
+    hashes = mix64(np.add.reduceat(terms, first) + lengths.astype(np.uint64))
+    if checked:
+        check = (mix64(np.add.reduceat((terms ^ (terms >> np.uint64(29))) * _MIX1, first)) >> np.uint64(32)).astype(np.uint32)
+    return hashes, check
 
 
 class Chunk:
@@ -181,27 +194,42 @@ def words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class SlotCache:
-    """A bounded map from 64-bit hashes to one integer each: direct-mapped, later entries replace earlier."""
+    """A bounded map from spans, known by hash and check, to one integer each: direct-mapped, later entries
+    replace earlier."""
 
     def __init__(self, bits: int = 20):
         self.shift = np.uint64(64 - bits)
-        self.keys = np.zeros(1 << bits, np.uint64)
+        self.keys, self.checks = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint32)
         self.values = np.full(1 << bits, -1, np.int64)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
+    def find(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """The values, -1 where there is none."""
         slots = hashes >> self.shift
-        return np.where(self.keys[slots] == hashes, self.values[slots], -1)
+        return np.where((self.keys[slots] == hashes) & (self.checks[slots] == checks), self.values[slots], -1)
 
-    def put(self, hashes: np.ndarray, values: np.ndarray) -> None:
+    def put(self, hashes: np.ndarray, checks: np.ndarray, values: np.ndarray) -> None:
         slots = hashes >> self.shift
         self.keys[slots] = hashes
-        self.values[slots] = values  # of equal slots numpy keeps the last in both arrays
+        self.checks[slots] = checks
+        self.values[slots] = values  # of equal slots numpy keeps the last in all arrays
 
     def clear(self) -> None:
         self.values[:] = -1
 
 
+def distinct_spans(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The index of one span of each kind, and each span's kind. Spans of one hash and different checks are
+    different."""
+    kinds, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    odd = np.flatnonzero(checks != checks[first][back])
+    if not len(odd):
+        return first, back
+    pairs = np.rec.fromarrays([hashes[odd], checks[odd]])
+    _, more, again = np.unique(pairs, return_index=True, return_inverse=True)
+    back[odd] = len(kinds) + again
+    return np.concatenate([first, odd[more]]), back
+
+
 def ragged(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenated ranges [first, first + length)."""
     total = int(lengths.sum())

@@ -1,10 +1,10 @@
-"""Token counts: the pieces of a document's pre-tokens, summed; the ids of a document are never put together.
+"""Token counts: pieces once for each distinct pre-token, joined to documents' pre-token frequencies, and summed.
 
-Each occurrence of a pre-token looks its count up in a bounded cache that a Python worker keeps across chunks
-and tasks; a chunk's distinct pre-tokens that aren't found there go through the tokenizer. This replaces a join
-of per-document pre-token frequencies to one table of distinct pre-tokens: nothing is shuffled at any size, but
-a pre-token is tokenized again in each worker and after its slot was taken. Pre-tokens are told apart by 64-bit
-hashes. README has the join's figures.
+The join is made chunk by chunk, where the text is: a chunk's distinct pre-tokens and its (document, pre-token,
+frequency) rows never leave the worker, and no ids are made of them. The pieces of pre-tokens met before come
+from a bounded table that a worker keeps across chunks and tasks, so a pre-token is counted once for each worker,
+and again when its slot was taken. One table of the whole corpus would need the frequencies shuffled; README has
+the figures of both.
 """
 
 from __future__ import annotations
@@ -37,11 +37,10 @@ class PieceLibrary:
         self.special = {t.content: i for i, t in self.plain.get_added_tokens_decoder().items()}
         self.plain.encode_special_tokens = True
 
-    def encode(self, tokens: list[str], joined: int = 256) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many each token has. A blank and something visible begin most pre-tokens;
-        such ones part again when joined, which spares the library's cost for each call."""
-        counts = np.zeros(len(tokens), np.int64)
-        ids: list = [None] * len(tokens)
+    def _batches(self, tokens: list[str], joined: int = 256):
+        """What the library makes of all tokens: (indexes, encoding, number of ids of each). A blank and something
+        visible begin most pre-tokens; such ones part again when joined, which spares the library's cost for
+        each call."""
         easy = [i for i, t in enumerate(tokens) if len(t) > 1 and t[0] == " " and not t[1].isspace()]
         groups = [easy[i : i + joined] for i in range(0, len(easy), joined)]
         rest = sorted(set(range(len(tokens))).difference(easy))
@@ -50,14 +49,28 @@ class PieceLibrary:
             if not len(words) or words[-1] + 1 != len(group):
                 rest += group
                 continue
-            n = np.bincount(words, minlength=len(group))
-            counts[group] = n
-            for i, part in zip(group, np.split(np.array(got.ids, np.uint32), np.cumsum(n)[:-1]), strict=True):
-                ids[i] = part
+            yield group, got, np.bincount(words, minlength=len(group))
         for i, got in zip(rest, self.plain.encode_batch([tokens[i] for i in rest], add_special_tokens=False), strict=True):
-            ids[i] = np.array(got.ids, np.uint32)
-            counts[i] = len(ids[i])
-        return np.concatenate(ids) if ids else np.empty(0, np.uint32), counts
+            yield [i], got, len(got)
+
+    def counts(self, tokens: list[str]) -> np.ndarray:
+        """How many ids each token has."""
+        counts = np.zeros(len(tokens), np.int64)
+        for at, _, n in self._batches(tokens):
+            counts[at] = n
+        return counts
+
+    def encode(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each token has."""
+        counts = np.zeros(len(tokens), np.int64)
+        found, order = [], []  # ids as they come, and the tokens that they belong to
+        for at, got, n in self._batches(tokens):
+            counts[at] = n
+            found += got.ids
+            order += at
+        first = np.zeros(len(tokens), np.int64)
+        first[order] = np.cumsum(counts[order]) - counts[order]
+        return np.array(found, np.uint32)[K.ragged(first, counts)], counts
 
 
 def with_specials(chunk: K.Chunk, points: np.ndarray, special: dict[str, int]) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
@@ -100,19 +113,30 @@ class PieceCounter:
         return cls.kept[path]
 
     def count(self, chunk: K.Chunk) -> np.ndarray:
+        """Each document's number of pieces: its pre-tokens' frequencies joined to the pieces of the chunk's
+        distinct pre-tokens, and summed."""
         points = chunk.points
         starts, ends, special = with_specials(chunk, points, self.library.special)
-        hashes = K.hash_spans(points, starts, ends)
-        pieces = self.cache.find(hashes)
-        missing = np.flatnonzero(pieces < 0)
-        if len(missing):
-            distinct, first, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
-            at = missing[first]
-            _, counts = self.library.encode([chunk.text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            pieces[missing] = counts[back]
-            self.cache.put(distinct, counts)
-        pieces[list(special)] = 1
-        return K.sums(pieces, np.searchsorted(starts, chunk.starts), np.searchsorted(starts, chunk.ends))
+        docs = chunk.hi - chunk.lo
+        doc = np.repeat(np.arange(docs), np.searchsorted(starts, chunk.ends) - np.searchsorted(starts, chunk.starts))
+        total = np.zeros(docs, np.int64)
+        hashes, checks = K.hash_and_check(points, starts, ends)
+        if special:
+            own = np.array(list(special))
+            total += np.bincount(doc[own], minlength=docs)
+            plain = np.delete(np.arange(len(starts)), own)
+            starts, ends, doc, hashes, checks = starts[plain], ends[plain], doc[plain], hashes[plain], checks[plain]
+        if not len(starts):
+            return total
+        one, kind = K.distinct_spans(hashes, checks)
+        pieces = self.cache.find(hashes[one], checks[one])
+        if len(new := np.flatnonzero(pieces < 0)):
+            at = one[new]
+            pieces[new] = self.library.counts([chunk.text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            self.cache.put(hashes[at], checks[at], pieces[new])
+        pair, frequency = np.unique(doc * len(one) + kind, return_counts=True)
+        np.add.at(total, pair // len(one), frequency * pieces[pair % len(one)])
+        return total
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 512) -> DataFrame:
