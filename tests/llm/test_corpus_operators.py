@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from thicket.llm import embeddings, kneser_ney, minhash, shared, sharding, toxicity, warc
+from thicket.llm import embeddings, kneser_ney, minhash, shared, sharding, textkit as K, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -80,14 +80,49 @@ def test_merkle_audit_finds_what_differs(spark):
     assert warc.audit(a.limit(0), a.limit(0))[0].collect() == []
 
 
-def test_audit_of_pages(spark):
-    rows = [(i, None if i % 50 == 3 else f"http://x/{i}", None if i % 40 == 7 else "é" * (i % 9) + str(i)) for i in range(600)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+def brute_replicas(rows, archive_bytes):
+    """{page_id: status} of audit_pages, by walking over the records."""
+    def record(url, html):
+        body = (html or "").encode()
+        return b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: " + (url or "").encode() + b"\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+
+    archives, place = {}, 0
+    for i, url, html in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        data = record(url, html)
+        archives.setdefault(place // archive_bytes, []).append((i, data))
+        place += len(data)
+    want = {}
+    for archive, members in archives.items():
+        whole, at = sum(len(d) for _, d in members), 0
+        for i, data in members:
+            at += len(data)
+            if archive % 2 == 0 and at * 128 > whole * 127:
+                want[i] = "missing"
+            elif (i or 0) % 101 == 1 and len(data) > len(data.decode()[:40].encode()) or (i or 0) % 97 == 0 and data[:1] != b"w":
+                want[i] = "altered"
+    return want
+
+
+@pytest.mark.parametrize("archive", [warc.ARCHIVE, 9000])
+def test_audit_of_pages(spark, monkeypatch, archive):
+    monkeypatch.setattr(warc, "ARCHIVE", archive)
+    rows = [(i, None if i % 50 == 3 else f"http://x/{i}", None if i % 40 == 7 else "é" * (i % 9) + str(i)) for i in range(600)] + [(None, "u", "v")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     found = {r.record: r.status for r in warc.audit_pages(pages)[0].collect()}
-    assert found == {i: "missing" if i % 103 == 2 else "altered" for i in range(600) if i % 103 == 2 or i % 101 == 1 or i % 97 == 0}
+    assert found == brute_replicas(rows, archive) and {"missing", "altered"} == set(found.values())
     assert warc.audit_pages(pages.limit(0))[0].collect() == []
 
 
+def test_audit_at_equal_offsets_and_of_nulls(spark):
+    kind = "archive long, offset long, length long, digest string, record long"
+    one = [(0, 0, 5, "a", 1), (0, 0, 5, "b", 2), (0, 0, 5, "c", 3), (0, 9, 5, None, 4), (0, 20, 5, None, 5), (0, 30, None, "x", 6), (0, 40, 1, "y", 7), (0, 40, 1, "y", 8)]
+    two = [(0, 0, 5, "a", 1), (0, 0, 5, "Z", 2), (0, 0, 5, "c", 3), (0, 9, 5, "", 4), (0, 20, 5, None, 5), (0, 30, None, "x", 6), (0, 40, 1, "y", 7)]
+    found = warc.audit(spark.createDataFrame(one, kind), spark.createDataFrame(two, kind))[0].collect()
+    assert sorted((r.record, r.status, r.expected, r.found) for r in found) == [(2, "altered", "b", "Z"), (4, "altered", None, ""), (8, "missing", "y", None)]
+    shifted = [(a, o + 1, n, d, r) for a, o, n, d, r in one]
+    assert Counter(r.status for r in warc.audit(spark.createDataFrame(one, kind), spark.createDataFrame(shifted, kind))[0].collect()) == {"missing": 8, "extra": 8}
+
+
 def brute_model(texts, held):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = [[*re.findall("[^\x20\x09-\x0d]+", (t or "").translate(lower)), None] for t in texts]
@@ -219,6 +254,45 @@ def test_toxicity_learns_and_scores(spark):
     assert {r.doc_id: r.score for r in again} == pytest.approx({r.doc_id: r.score for r in rows}, abs=1e-6)
 
 
+def loop_score(model, text):
+    """A score word by word and window by window."""
+    import regex
+
+    def buckets(word):
+        code = lambda w: int(K.hash_spans(np.array([ord(c) for c in w], np.uint32), np.array([0]), np.array([len(w)]))[0])
+        return [code(word) % toxicity.BUCKETS] + [int(K.mix64(np.array([code(word[:k])], np.uint64) + np.uint64(k))[0]) % toxicity.BUCKETS for k in toxicity.BEGINNINGS]
+
+    words = [sum(model.embedding[b].astype(float) for b in buckets(w)) for w in regex.findall(r"[\p{L}\p{N}\p{M}]+", (text or "").lower())]
+    words += [np.zeros(toxicity.DIM)] * toxicity.PAD
+    total = model.offset
+    for n, (width, kernel) in enumerate(model.filters.items()):
+        for f in range(toxicity.FILTERS):
+            best = max(sum(float(words[at + j] @ kernel[j, :, f]) for j in range(width)) for at in range(len(words) - width + 1))
+            total += max(best + float(model.bias[n * toxicity.FILTERS + f]), 0) * float(model.weight[n * toxicity.FILTERS + f])
+    return 1 / (1 + math.exp(-max(-30, min(30, model.scale[0] * total + model.scale[1]))))
+
+
+def test_toxicity_scores_equal_a_loop(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["Bad", "good", "née", "x1", "longerword", "longerwords"]) for _ in range(rng.randint(1, 30))) for _ in range(80)]
+    labels = np.array([int("Bad x1" in t) for t in texts])
+    model = toxicity.fit(texts, labels, ["en"] * 80, 0.3)
+    texts += [None, "", "!", "bad" * 2000, "one two"]
+    rows = sorted(toxicity.score_documents(documents(spark, texts).select("doc_id", "text"), model).collect())
+    assert [r.score for r in rows] == pytest.approx([loop_score(model, t) for t in texts], abs=1e-4)
+
+
+def test_the_sample_is_bounded_by_texts(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, *rest: sent.append((texts, labels.tolist())))
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, f"text {i}", "en", "s", 0) for i in range(200)] + [(ids[0], f"again {j}", "de", "s", 0) for j in range(500)] + [(ids[1], "z" * (toxicity.SAMPLE_CHARS + 1), "en", "s", 0)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic long")
+    for n in (1, 6):
+        toxicity.train(spark.createDataFrame(rows, DOCS).repartition(n), labels, rows=10)
+    assert sent[0] == sent[1] and len(sent[0][0]) == 20 and sum(sent[0][1]) == 10
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, ["a b", None])
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic long"))
@@ -263,6 +337,24 @@ def test_embedding_links(spark):
     assert embeddings.near_duplicates(df.limit(0))[0].collect() == []
 
 
+def test_recall_over_ten_thousand_vectors(spark):
+    # Planted pairs between the threshold and 0.995, half of the strangers in one label: against all pairs.
+    rng = np.random.default_rng(17)
+    unit = lambda z: z / np.linalg.norm(z, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(10_000, 64)))
+    label = np.where(np.arange(10_000) % 2 == 0, 0, np.arange(10_000) % 40)
+    noise = rng.normal(size=(1500, 64))
+    noise = unit(noise - (noise * x[:1500]).sum(axis=1, keepdims=True) * x[:1500])
+    cosine = rng.uniform(0.9801, 0.995, 1500)[:, None]
+    x, label = np.concatenate([x, cosine * x[:1500] + np.sqrt(1 - cosine**2) * noise]), np.concatenate([label, label[:1500]])
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))], "vec_id long, embedding array<double>, label int")
+    linked = (unit(x) @ unit(x).T >= 0.98) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df)[0].collect()}
+    found, wanted = sum(got.values()), int(linked.sum())
+    assert wanted >= 3000 and all(got[i] <= n for i, n in enumerate(linked.sum(axis=1)))
+    assert found >= 0.999 * wanted
+
+
 @pytest.mark.parametrize("tile", [4096, 300])
 def test_links_in_a_concentrated_label(spark, monkeypatch, tile):
     # All vectors lie at a cosine of about 0.95 with each other: strangers fill the windows.
@@ -342,6 +434,47 @@ def test_sharding(spark, law, count):
     assert order == sorted(order)
 
 
+def test_sharding_by_brute_force_and_groups(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, "", "same text", "x" * 50, f"own {i}"]), rng.choice(["en", "de", None]), rng.choice(["a", "b", None]), 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    langs, sources = {None: 0, "de": 21, "en": 42}, {None: 0, "a": 21, "b": 42}
+    cell = {r.doc_id: (langs[r.lang], sources[r.source], r.c, r.h) for r in docs.selectExpr("doc_id", "lang", "source", "cast(least(floor(log2(octet_length(coalesce(text, '')) + 2) * 3), 63) as int) c", "xxhash64(coalesce(text, '')) h").collect()}
+    first = {}
+    for i, text, *_ in rows:
+        first[text or ""] = min(first.get(text or "", i), i)
+    cells = [(*cell[first[t or ""]][:2], cell[i][2], cell[i][3] % 64) for i, t, *_ in rows]
+    curve = sharding.hilbert([np.array(c) for c in zip(*cells)])
+    order = sorted(range(300), key=lambda i: (int(curve[i]), cell[i][3], i))
+    got = sharding.shard_documents(docs)[0].collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))] == order
+    shards = {}
+    for r in got:
+        shards.setdefault(rows[r.doc_id][1] or "", set()).add(r.shard)
+    size = Counter(t or "" for _, t, *_ in rows)
+    assert all(len(s) <= -(-size[t] // 18) + 1 for t, s in shards.items())
+
+
+def test_shards_as_files_can_be_skipped(spark, tmp_path):
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(i, "y" * rng.choice([3, 60, 900, 9000]), rng.choice(["en", "de", "fr", "es"]), rng.choice("abcd"), 0) for i in range(800)], DOCS)
+    placed, _ = sharding.shard_documents(docs)
+    sharding.write_shards(docs, placed.drop("size"), "doc_id", f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert back.count() == 800 and {r.shard for r in back.select("shard").distinct().collect()} == set(range(16))
+    with_size = back.selectExpr("shard", "length(text) as size", "lang")
+    ranges = {r.shard: (r.least, r.most) for r in sharding.pruned(with_size, "size").collect()}
+    assert sum(a <= 9000 <= b for a, b in ranges.values()) <= 9  # a filter on size skips the others
+    languages = {}
+    for r in with_size.distinct().collect():
+        languages.setdefault(r.shard, set()).add(r.lang)
+    assert sum("fr" in x for x in languages.values()) <= 9  # and one on language others again
+    slots = {}
+    for r in back.select("doc_id", "shard", "slot").collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def brute_groups(texts, size=5, threshold=0.8):
     import regex
 
@@ -387,6 +520,23 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(docs.limit(0))[0].collect() == []
 
 
+def test_near_duplicates_in_small_tiles_and_blocks(spark, monkeypatch):
+    for name, value in (("TILE", 4), ("TILE_BYTES", 300), ("BLOCK", 2), ("STAR_ROUNDS", 1)):
+        monkeypatch.setattr(minhash, name, value)
+    texts = near_texts(3) + [" ".join(f"q{j}" for j in range(40)) + f" {i}" for i in range(30)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts).repartition(5))[0].collect()}
+    assert got == dict(enumerate(brute_groups(texts)))
+
+
+def test_rows_left_do_not_depend_on_partitions(spark):
+    rng = random.Random(4)
+    texts = near_texts(5)
+    rows = [(rng.choice([None, i % 40]), t, "en", "s", i) for i, t in enumerate(texts + texts[:20])]
+    docs = spark.createDataFrame(rows, DOCS)
+    left = [Counter(map(tuple, minhash.deduplicated(docs.repartition(n)).drop("n_chars").collect())) for n in (1, 7)]
+    assert left[0] == left[1]
+
+
 def test_near_duplicates_without_ids(spark):
     text = " ".join(f"w{i}" for i in range(60))
     other = " ".join(f"v{i}" for i in range(60))
@@ -409,6 +559,59 @@ def test_signatures_estimate_probability_jaccard():
     assert (signature[0] == signature[1]).mean() == pytest.approx(exact, abs=0.03)
 
 
+def stage_tables(spark, at, rows, labels, items):
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic long").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return spark.read.parquet(f"{at}/documents.parquet")
+
+
+def test_each_stage_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+
+    from thicket.llm.bpe import read_ranks
+
+    rng = random.Random(21)
+    bench = [f"bench{i}" for i in range(15)]
+    base = [" ".join(f"k{rng.randint(0, 200)}" for _ in range(30)) for _ in range(60)]
+    texts = base + [f"{t} tail" for t in base[:10]] + [f"{base[20]} {' '.join(bench[2:13])} end", f"{base[21]} {' '.join(bench[2:11])} end", None, "", "!", "grmpfel " * 3 + base[30]]
+    rows = [(rng.choice([None, i % 50]), t, "en", "s", i) for i, t in enumerate(texts)] + [(3, base[40], "en", "s", 0), (3, base[40], "en", "s", 0)]
+    labels = [(i, int(i % 3 == 0)) for i in range(50)]
+    docs = stage_tables(spark, tmp_path, rows, labels, [(1, " ".join(bench)), (2, None), (3, "")])
+    docs = docs.withColumns({"score": docs.n_chars, "_key": docs.n_chars, "ids": docs.lang, "row": docs.lang, "hit": docs.lang})
+    stages = dict(corpus_pipeline.STAGES)
+    plain = lambda frame: sorted(map(str, frame.collect()))
+
+    for name in ("toxicity", "near_duplicates", "decontamination"):
+        runs = [stages[name](spark, docs.repartition(n), str(tmp_path)) for n in (1, 7)]
+        assert runs[0].columns == docs.columns and plain(runs[0]) == plain(runs[1]), name
+        assert stages[name](spark, docs.limit(0), str(tmp_path)).collect() == []
+
+    # Toxicity: by the score and its language's threshold, row by row.
+    model = toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    left = Counter(r.text for r in stages["toxicity"](spark, docs, str(tmp_path)).collect())
+    assert left == Counter(t for _, t, *_ in rows if loop_score(model, t) < model.thresholds.get("en", toxicity.THRESHOLD))
+    # Near duplicates: of each group the smallest id, null last; other texts of that id stay.
+    group = brute_groups([t for _, t, *_ in rows])
+    best = {}
+    for g, (i, t, *_) in zip(group, rows):
+        best[g] = min(best.get(g, (True, 0)), (i is None, i or 0)) if g in best else (i is None, i or 0)
+    left = [(r.doc_id, r.text) for r in stages["near_duplicates"](spark, docs, str(tmp_path)).collect()]
+    worded = {g for g, (_, t, *_) in zip(group, rows) if any(c.isalnum() for c in t or "")}
+    of = {t: g for g, (_, t, *_) in zip(group, rows)}
+    assert Counter(of[t] for _, t in left if of[t] in worded) == Counter(dict.fromkeys(worded, 1))
+    assert all((i is None, i or 0) == best[of[t]] for i, t in left if of[t] in worded)
+    # Benchmark: ten words of the item in a row, not nine.
+    left = Counter(r.text for r in stages["decontamination"](spark, docs, str(tmp_path)).collect())
+    assert left == Counter(t for _, t, *_ in rows if " ".join(bench[2:12]) not in (t or ""))
+    # Encoding: whole texts, as the library.
+    encoding = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    got = Counter((r.doc_id, tuple(r.ids)) for r in stages["byte_level_bpe"](spark, docs, str(tmp_path)).collect())
+    assert got == Counter((i, tuple(encoding.encode_ordinary(t or ""))) for i, t, *_ in rows)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -22,7 +22,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words, before A-Z are lower-cased.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 END = 0
-#: Rows up to which a side is broadcast; beyond it Spark joins by a shuffle.
+#: Rows, of 64 bytes of text at most, up to which a side is broadcast; beyond it Spark joins by a shuffle.
 MOST_BROADCAST = 500_000
 
 
@@ -39,6 +39,12 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MOST_BROADCAST else df
 
 
+def _weight(df: DataFrame, text: str) -> int:
+    """Rows as _small() counts them: one with a text of more than 64 bytes stands for several."""
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return max(n, size // 64)
+
+
 class TestSet:
     """Test items as term positions: ``positions`` (item, at, term, length) and ``vocabulary`` (word, term).
 
@@ -51,10 +57,11 @@ class TestSet:
         lists = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item_id"), F.transform(words(F.col(text)), _ascii_lower).alias("words"))
         lists, at1 = written(lists.where(F.size("words") > 0).distinct().withColumn("item", F.monotonically_increasing_id()), "test-items")
         self.items = lists.select("item", "item_id", F.size("words").alias("length"))
+        self.n_items = _weight(self.items, "item_id")
         each = lists.select("item", F.size("words").alias("length"), F.posexplode("words").alias("at", "word"))
         vocabulary, at2 = written(each.select("word").distinct().withColumn("term", F.monotonically_increasing_id() + 1), "test-words")
         self.vocabulary = vocabulary
-        self.n_words = vocabulary.count()
+        self.n_words = _weight(vocabulary, "word")
         self.positions, at3 = written(each.join(_small(vocabulary, self.n_words), "word").drop("word"), "test-positions")
         self.n_positions = self.positions.count()
         self.folders = [at1, at2, at3]
@@ -152,7 +159,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id
     matches, more = phrase_matches(index, tests, width)
     matches, at2 = written(matches, "matches")
     drop(docs.sparkSession, *more)
-    items = _small(tests.items.select("item", "item_id"), tests.n_positions)
+    items = _small(tests.items.select("item", "item_id"), tests.n_items)
     hits = matches.select("row", F.explode(F.sequence(F.col("shift") + F.col("first"), F.col("shift") + F.col("last"))).alias("at")).groupBy("row").agg(F.count_distinct("at").alias("n_hit"))
     which = matches.select("row", "item").distinct().join(items, "item").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     every = index.where(F.col("term") == END).select("row", F.col("doc").alias(doc_id), F.col("at").cast("long").alias("n_words"))

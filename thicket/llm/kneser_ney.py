@@ -27,6 +27,7 @@ from thicket.llm.store import Store
 #: Distinct keys that a map task holds before it hands them on.
 HELD = 1 << 21
 END = 0
+MOST32 = 0xFFFFFFFF
 #: Followers from which a context's sums are stored, and points at which a range of pairs tells its mass.
 MANY, POINTS = 64, 16
 
@@ -50,17 +51,36 @@ def words(chunk: K.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending keys and their counts, compressed: differences, each byte of them apart."""
+    """Ascending keys and their counts, compressed: differences, each byte of them apart. Counts take 4 bytes, or
+    8 where one of them needs more."""
     steps = np.diff(keys, prepend=np.uint64(0))
     planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
-    return len(keys).to_bytes(8, "little") + zstandard.compress(planes.tobytes() + np.ascontiguousarray(counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    width = 8 if len(counts) and int(counts.max()) > MOST32 else 4
+    values = np.ascontiguousarray(counts.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return len(keys).to_bytes(8, "little") + bytes([width]) + zstandard.compress(planes.tobytes() + values.tobytes(), 1)
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(data[:8], "little")
-    raw = np.frombuffer(zstandard.decompress(data[8:]), np.uint8)
+    width = data[8]
+    raw = np.frombuffer(zstandard.decompress(data[9:]), np.uint8)
     steps = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
-    return np.cumsum(steps, dtype=np.uint64), np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
+    return np.cumsum(steps, dtype=np.uint64), np.ascontiguousarray(raw[8 * n :].reshape(width, n).T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def put_counts(store: Store, name: str, counts: np.ndarray) -> None:
+    """Counts in 32 bits each; those that need more are in a table of their own."""
+    large = np.flatnonzero(counts >= MOST32)
+    store.write(f"{name}.large", np.concatenate([large, counts[large]]).astype(np.int64))
+    store.write(name, np.minimum(counts, MOST32).astype(np.uint32))
+
+
+def get_counts(store: Store, name: str, at: np.ndarray) -> np.ndarray:
+    out = store.read(name, np.uint32)[at].astype(np.int64)
+    if len(big := np.flatnonzero(out == MOST32)):
+        places, counts = store.read(f"{name}.large", np.int64).reshape(2, -1)
+        out[big] = counts[np.searchsorted(places, at[big])]
+    return out
 
 
 def merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +250,7 @@ class Model:
                 at = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
                 here = known[at] == keys[a:b]
                 if counted:
-                    count[a:b] = np.where(here, self.store.read(f"pair-{i}.count", np.uint32)[at], 0)
+                    count[a:b] = np.where(here, get_counts(self.store, f"pair-{i}.count", at), 0)
                 if self.order > 2:
                     rank[a:b] = np.where(here, at + self.pair_base[i], -1)
         return count, rank
@@ -400,7 +420,7 @@ def _train(docs: DataFrame, text: str, order: int) -> Model:
         read = [unpack(x) for x in table.column("data").to_pylist()]
         keys, counts = merge(np.concatenate([k for k, _ in read]), np.concatenate([c for _, c in read]))
         store.write(f"pair-{part}.key", keys)
-        store.write(f"pair-{part}.count", np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
+        put_counts(store, f"pair-{part}.count", counts)
         if order == 2:
             return sums_by_word(keys, counts)
         mass = np.cumsum(np.where(keys & np.uint64(0xFFFFFFFF) == END, 0, counts))
@@ -472,11 +492,11 @@ def _train(docs: DataFrame, text: str, order: int) -> Model:
             return pa.table({"range": pa.array([-2] * len(data), pa.int32()), "name": ["counts"] * len(data), "data": pa.array(data, pa.binary())})
         keys = store.read(f"pair-{part}.key", np.uint64)
         # Only pairs at a beginning keep what is stored, so the task may run again.
-        counts = np.where(keys >> np.uint64(32) == END, store.read(f"pair-{part}.count", np.uint32), 0).astype(np.int64)
+        counts = np.where(keys >> np.uint64(32) == END, get_counts(store, f"pair-{part}.count", np.arange(len(keys))), 0)
         for x in data:
             k, c = unpack(x)
             counts[np.searchsorted(keys, k)] += c
-        store.write(f"pair-{part}.count", np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
+        put_counts(store, f"pair-{part}.count", counts)
         return sums_by_word(keys, counts)
 
     def fill_pairs() -> None:

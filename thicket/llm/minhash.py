@@ -20,14 +20,17 @@ from pyspark.sql import functions as F
 
 from thicket.llm import textkit as K
 from thicket.llm.shared import components, drop, fresh, written
+from thicket.operators.groups import join_groups
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 5 components; pairs must share 2 bands: at similarity 0.8 all but 1 in 20,000 do.
 BANDS, ROWS, SHARED = 32, 5, 2
 STAR_ROUNDS = 2
-#: Members of a bucket that are compared in one place at most, against as many.
-TILE = 512
-#: Document ids up to which a side is broadcast; beyond it Spark joins by a shuffle.
+#: Members of a bucket, and bytes of their texts, that are compared in one place at most, against as many.
+TILE, TILE_BYTES = 512, 8 << 20
+#: Members that a hub's text is sent to at once.
+BLOCK = 64
+#: Document ids, of 64 bytes at most, up to which a side is broadcast; beyond it Spark joins by a shuffle.
 MOST_BROADCAST = 500_000
 
 
@@ -146,35 +149,50 @@ def vectors(column) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Those pairs (a, b) whose texts (doc, text) have the similarity or more, with ``similarity``."""
+    """Those pairs (a, b, hub) whose texts (doc, text) have the similarity or more, with ``similarity``; ``hub`` is
+    one of the two. A hub's text goes once to each BLOCK of the others; a worker holds a batch and one hub."""
     kind = pairs.schema["a"].dataType.simpleString()
+    sizes, at = written(pairs.groupBy("hub").agg(F.count("*").alias("n")), "hub-sizes")
+    member = pairs.select("hub", F.when(F.col("a") == F.col("hub"), F.col("b")).otherwise(F.col("a")).alias("doc"))
+    block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / BLOCK))
+    member = join_groups(member, sizes, ["hub"], "n").select("hub", block.alias("block"), "doc", F.lit(1).alias("turn"))
+    hub = member.select("hub", "block").distinct().select("hub", "block", F.col("hub").alias("doc"), F.lit(0).alias("turn"))
+    rows = member.unionByName(hub).join(texts.select("doc", "text"), "doc")
+    rows = rows.repartition("hub", "block").sortWithinPartitions("hub", "block", "turn").select("hub", "doc", "turn", "text")
 
     def run(batches):
+        own = None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                found = np.array([similarity(x, y) for x, y in zip(vectors(part.column(2)), vectors(part.column(3)), strict=True)], float)
-                yield part.select(["a", "b"]).append_column("similarity", pa.array(found)).filter(pa.array(found >= threshold))
+            found = []
+            for turn, vector in zip(batch.column(2).to_pylist(), vectors(batch.column(3)), strict=True):
+                if turn == 0:
+                    own = vector
+                found.append(0.0 if turn == 0 else similarity(own, vector))
+            found = np.array(found, float)
+            yield batch.select(["hub", "doc"]).append_column("similarity", pa.array(found)).filter(pa.array((found >= threshold) & (batch.column(2).to_numpy() == 1)))
 
-    x, y = (texts.select(F.col("doc").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+    near = rows.mapInArrow(run, f"hub {kind}, doc {kind}, similarity double")
+    return near.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"), "similarity")
 
 
 def bucket_links(rows: DataFrame, bands: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links (a, b) that join what of a bucket's members (band, hash, doc, component) is still apart.
 
-    A bucket over TILE is dealt into tiles, each pair of which is compared as a whole in one place; small
-    buckets share tasks. Of two members in different components that share SHARED bands or more, and this
+    A bucket over TILE or TILE_BYTES is dealt into tiles, each pair of which is compared as a whole in one
+    place; small buckets share tasks. Of two members in different components that share SHARED bands or more, and this
     one as their first, the texts are compared exactly; no row is made for a pair but a link that joins.
     """
     kind = rows.schema["doc"].dataType.simpleString()
-    sizes = rows.groupBy("band", "hash").agg(F.count("*").alias("n")).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-    total = sizes.agg(F.sum(F.col("n") * F.col("tiles")).alias("n")).first()["n"] or 0
-    placed = rows.join(sizes, ["band", "hash"]).withColumn("tile", F.expr("cast(pmod(xxhash64(doc), tiles) as int)"))
+    rows = rows.select("band", "hash", "doc", "component").join(texts.select("doc", "size"), "doc")
+    tiles = F.ceil(F.greatest(F.col("n") / TILE, F.col("bytes") / TILE_BYTES)).cast("int")
+    sizes = rows.groupBy("band", "hash").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).withColumn("tiles", F.greatest(tiles, F.lit(1)))
+    sizes, _ = written(sizes, "bucket-sizes")
+    n, size = sizes.agg(F.sum(F.col("n") * F.col("tiles")), F.sum(F.col("bytes") * F.col("tiles"))).first()
+    placed = join_groups(rows, sizes, ["band", "hash"], "n").withColumn("tile", F.expr("cast(pmod(xxhash64(doc), tiles) as int)"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tasks = max(1, total // TILE)
+    tasks = max(1, (n or 0) // TILE, (size or 0) // TILE_BYTES)
     dealt = dealt.select("band", "hash", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "doc", "component")
-    dealt = dealt.withColumn("task", F.expr(f"pmod(xxhash64(band, hash, i, j), {tasks})")).join(bands, "doc").join(texts, "doc")
+    dealt = dealt.withColumn("task", F.expr(f"pmod(xxhash64(band, hash, i, j), {tasks})")).join(bands, "doc").join(texts.select("doc", "text"), "doc")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("band", "hash", "i", "j", "tile")]).combine_chunks()
@@ -224,6 +242,12 @@ def bucket_links(rows: DataFrame, bands: DataFrame, texts: DataFrame, threshold:
     return dealt.groupBy("task").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
+def _light(df: DataFrame, column: str) -> bool:
+    """Whether a table of one column may be broadcast: by its rows, and by its bytes where it is text."""
+    n, size = df.agg(F.count("*"), F.sum(F.octet_length(F.col(column).cast("string")))).first()
+    return max(n, (size or 0) // 64) <= MOST_BROADCAST
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, list[str]]:
     """One row for each row of ``docs``: doc_id, class_id (smallest doc_id of the same words),
     component_id (smallest doc_id reachable by links) and kept (doc_id = component_id); and the folders in use.
@@ -236,40 +260,42 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     drawn, at_drawn = written(sketch(docs, doc_id, text), "sketch")
     classes, at_classes = written(drawn.groupBy("copy_a", "copy_b").agg(F.min("doc").alias("class_id"), F.first("bands").alias("bands")), "classes")
     members = classes.select(F.col("class_id").alias("doc"), F.posexplode("bands").alias("band", "hash"))
-    company = members.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1")
-    buckets, at_buckets = written(members.join(company, ["band", "hash"]), "buckets")
+    company, at_company = written(members.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1"), "company")
+    buckets, at_buckets = written(join_groups(members, company, ["band", "hash"], "n"), "buckets")
     degree = buckets.groupBy("doc").agg(F.sum("n").alias("degree"))
     rows, at_rows = written(buckets.join(degree, "doc").select("band", "hash", "doc", "degree", F.col("doc").alias("component"), F.lit(False).alias("was_hub")), "members")
     ids = rows.select("doc").distinct()
     texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
-    n_ids = ids.count()
-    texts = texts.join(F.broadcast(ids) if n_ids <= MOST_BROADCAST else ids, "doc", "left_semi").dropDuplicates(["doc"])
-    texts, at_texts = written(texts, "texts")
-    drop(spark, at_buckets)
+    texts = texts.join(F.broadcast(ids) if _light(ids, "doc") else ids, "doc", "left_semi").dropDuplicates(["doc"])
+    texts, at_texts = written(texts.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), "texts")
+    drop(spark, at_buckets, at_company)
     tested: DataFrame | None = None
     links: DataFrame | None = None
     old: list[str] = []
     root, root_at = None, []
     for _ in range(STAR_ROUNDS):
-        hubs = rows.where("not was_hub").groupBy("band", "hash").agg(F.max_by("doc", F.struct("degree", "doc")).alias("hub"))
-        hubs = hubs.join(rows.select("band", "hash", F.col("doc").alias("hub"), F.col("component").alias("hub_part")), ["band", "hash", "hub"]).select("band", "hash", "hub", "hub_part")
-        spoken, at_spoken = written(rows.join(hubs, ["band", "hash"]), "hubs")
-        pairs = spoken.where("component <> hub_part").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
+        lead = F.max_by(F.struct("doc", "component"), F.struct("degree", "doc"))
+        hubs = rows.where("not was_hub").groupBy("band", "hash").agg(lead.alias("lead"), F.count("*").alias("n"))
+        hubs, at_hubs = written(hubs.select("band", "hash", F.col("lead.doc").alias("hub"), F.col("lead.component").alias("hub_part"), "n"), "hubs")
+        spoken, at_spoken = written(join_groups(rows.drop("n"), hubs, ["band", "hash"], "n").drop("n"), "spoken")
+        pairs = spoken.where("component <> hub_part").groupBy(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).agg(F.min("hub").alias("hub"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs, at_pairs = written(pairs, "pairs")
         found, at_found = written(verified(pairs, texts, threshold).select("a", "b"), "links")
         old += [at_pairs, at_found]
-        tested = pairs if tested is None else tested.unionAll(pairs)
+        tested = pairs.select("a", "b") if tested is None else tested.unionAll(pairs.select("a", "b"))
         links = found if links is None else links.unionAll(found)
         drop(spark, *root_at)
         root, root_at = components(links, "near")
         part = root.withColumnRenamed("node", "doc").withColumnRenamed("component", "part")
         again = spoken.drop("component", "hub_part").join(part, "doc", "left").select("band", "hash", "doc", "degree", F.coalesce("part", "doc").alias("component"), (F.col("was_hub") | (F.col("doc") == F.col("hub"))).alias("was_hub"))
-        open_ = again.groupBy("band", "hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "hash")
-        again, at_again = written(again.join(open_, ["band", "hash"], "left_semi"), "members")
-        drop(spark, at_rows, at_spoken)
-        rows, at_rows = again, at_again
+        again, at_again = written(again, "again")
+        spread = again.groupBy("band", "hash").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
+        open_, at_open = written(spread.where("x <> y").select("band", "hash", "n"), "open")
+        drop(spark, at_rows, at_spoken, at_hubs)
+        rows, at_rows = written(join_groups(again, open_, ["band", "hash"], "n").drop("n"), "members")
+        drop(spark, at_again, at_open)
     found, at_found = written(bucket_links(rows, classes.select(F.col("class_id").alias("doc"), "bands"), texts, threshold), "links")
     drop(spark, *root_at)
     root, root_at = components(links.unionAll(found), "near")
@@ -296,7 +322,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     members = found.select("key", "component_id").distinct().join(ids.distinct(), "key")
     first = members.groupBy("component_id").agg(F.min("order").alias("first"), F.count("*").alias("n")).where("n > 1")
     gone, _ = written(members.join(first, "component_id").where("key <> first.key").select(F.col("key").alias(name)), "gone")
-    if gone.count() <= MOST_BROADCAST:
+    if _light(gone, name):
         gone = F.broadcast(gone)
     left = docs.join(gone, own == F.col(name), "left_anti")
     if docs.groupBy(own).count().where("count > 1").isEmpty():

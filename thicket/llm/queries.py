@@ -68,6 +68,16 @@ def op7_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))[0]
 
 
+def planted_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's operator over ``embeddings`` with planted copies: of every third vector one at a cosine near 0.999, of
+    every fifth one turned further, below the threshold, and of every seventh a multiple of itself."""
+    from thicket.llm.embeddings import near_duplicates
+    from thicket.llm.sql import planted
+
+    _table(spark, sf_dir, "embeddings").createOrReplaceTempView("embeddings")
+    return near_duplicates(spark.sql(planted(spark=True)))[0]
+
+
 def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.llm.bpe import round_trip
 
@@ -87,7 +97,7 @@ def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_merkle_fixity, op3_kneser_ney, op4_context_mixing_coder, op5_toxicity, op6_token_counts, op7_sorted_projections, op8_byte_level_bpe, op9_hilbert_sharding, op10_prob_minhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_merkle_fixity, op3_kneser_ney, op4_context_mixing_coder, op5_toxicity, op6_token_counts, op7_sorted_projections, planted_near_vectors, op8_byte_level_bpe, op9_hilbert_sharding, op10_prob_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

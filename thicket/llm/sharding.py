@@ -13,9 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.shared import ranked
+from thicket.llm.shared import drop, ranked, written
+from thicket.operators.groups import join_groups
 
 BITS = 6
+#: Groups up to which their cells are broadcast.
+MOST_BROADCAST = 200_000
 
 
 def category(c: Column | str, bits: int = BITS) -> Column:
@@ -23,6 +26,19 @@ def category(c: Column | str, bits: int = BITS) -> Column:
     return F.coalesce(F.pmod(F.xxhash64(F.col(c) if isinstance(c, str) else c), F.lit(1 << bits)), F.lit(0)).cast("int")
 
 
+def spread(df: DataFrame, column: str, bits: int = BITS) -> Column:
+    """A value's cell by its rank among the column's values, evenly over all cells, so that shards can part them;
+    by its hash where there are more values than cells. A null is a value."""
+    values = [r[0] for r in df.select(column).distinct().limit((1 << bits) + 1).collect()]
+    if len(values) > 1 << bits:
+        return category(column, bits)
+    ranked_ = sorted(values, key=lambda v: (v is not None, v))
+    cell = F.lit(0)
+    for i, v in enumerate(ranked_):
+        cell = F.when(F.col(column).eqNullSafe(F.lit(v)), (i << bits) // len(ranked_)).otherwise(cell)
+    return cell.cast("int")
+
+
 def magnitude(c: Column, bits: int = BITS) -> Column:
     """A non-negative number's cell: three for each doubling, the last for all that is larger; a null's is 0."""
     cell = F.floor(F.log2(F.coalesce(c, F.lit(0)).cast("double") + 1) * 3)
@@ -99,14 +115,29 @@ def shard_documents(docs: DataFrame, shards: int = 16, law: str = "rows") -> tup
     language, source, size and content.
 
     Columns: doc_id, size (UTF-8 bytes + 1), text_crc32, law, shard, slot, grown_shard (null: of laws only
-    "key" grows), curve. A null text has no bytes. Equal texts of one language and source share a cell
-    and, by the tie order, a run. Nulls in other columns are a value of their own; repeated rows are
-    placed each by itself; an empty table gives no rows.
+    "key" grows), curve. A null text has no bytes. Equal texts (by 64-bit hash and size) are a group: all have
+    the cell of the group's row with the smallest doc_id, and follow one another on the curve, so only a cut
+    between shards, which equal counts call for, can part them. Nulls in other columns are a value of their own;
+    repeated rows are placed each by itself; an empty table gives no rows.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    flat = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "lang", "source")
-    cells = {"lang": category("lang"), "source": category("source"), "size": magnitude(F.col("size")), "content": F.pmod(F.col("text_crc32"), F.lit(1 << BITS))}
-    placed, at = curve_shards(flat, cells, ["text_crc32", "doc_id"], shards, law)
+    metadata = F.struct(spread(docs, "lang").alias("lang"), spread(docs, "source").alias("source"))
+    flat = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("same"), metadata.alias("metadata"))
+    flat, at_flat = written(flat, "keys")
+    # Groups whose rows differ in metadata take those of their first row; the others have them already.
+    groups = flat.groupBy("same", "size").agg(F.min_by("metadata", F.struct(F.col("doc_id").isNull(), "doc_id", "metadata")).alias("first"), F.min("metadata").alias("least"), F.max("metadata").alias("most"), F.count("*").alias("n"))
+    mixed, at_mixed = written(groups.where("least <> most").select("same", "size", "first", "n"), "mixed")
+    keys = ["same", "size"]
+    if mixed.count() <= MOST_BROADCAST:
+        flat = flat.join(F.broadcast(mixed.drop("n")), keys, "left")
+    else:
+        flat = join_groups(flat, mixed, keys, "n").drop("n").unionByName(flat.join(mixed.select(keys), keys, "left_anti").withColumn("first", F.lit(None).cast(mixed.schema["first"].dataType)))
+    own = F.coalesce("first", "metadata")
+    flat = flat.select("doc_id", "size", "text_crc32", "same", own["lang"].alias("lang"), own["source"].alias("source"))
+    cells = {"lang": F.col("lang"), "source": F.col("source"), "size": magnitude(F.col("size")), "content": F.pmod(F.col("same"), F.lit(1 << BITS))}
+    placed, at = curve_shards(flat, cells, ["same", "doc_id"], shards, law)
+    drop(spark, at_flat, at_mixed)
     return placed.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve"), at
 
 

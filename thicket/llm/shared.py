@@ -12,20 +12,24 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS = 2000
+from thicket.plans.staging import shared_root
+
+#: Bytes of a batch for Python workers: texts can be long, and a batch is in memory on both sides.
+BATCH_BYTES = 8 << 20
 _shipped: set[str] = set()
 _own: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package's modules to the Python workers, once an application (theirs may lack its path), and
-    bound the batches that they get to BATCH_ROWS."""
+    bound the batches that they get to BATCH_BYTES: a setting of the session, which stays."""
     context = spark.sparkContext
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if (now := spark.conf.get(setting, None)) is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
-    # Rows of a text table can be long: smaller batches than Spark's default of 10,000 rows to a Python worker.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(BATCH_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
     package = Path(__file__).resolve().parent.parent
     at = tempfile.mkdtemp(prefix="modules-")
     atexit.register(shutil.rmtree, at, True)
@@ -36,16 +40,6 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(file))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where that is unset (tests)."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().getOrElse(None)
-    if root is None:
-        root = Path(tempfile.mkdtemp(prefix="thicket-")).as_uri()
-        context.setCheckpointDir(root)
-    return root
-
-
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder's path below the shared one; it goes when the Python driver ends, or by drop()."""
     path = f"{shared_root(spark).rstrip('/')}/thicket/{name}-{uuid.uuid4().hex}"

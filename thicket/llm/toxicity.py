@@ -209,14 +209,20 @@ def fold(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
     """Fit a model on at most ``rows`` rows of each label, chosen by a hash of the id from labelled rows
     that aren't held out; texts over SAMPLE_CHARS characters aren't in the sample. Rows whose label or id
-    is null are not labelled; a document with several labels has the largest."""
+    is null are not labelled; a document with several labels has the largest, and of several texts of one id
+    the least by its hash is taken. No more than 2 * ``rows`` texts reach the driver, whatever ids repeat."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(doc_id).isNotNull() & ~fold(doc_id)).groupBy(doc_id).agg(F.max("toxic").cast("int").alias("toxic"))
     count = {bool(r["toxic"]): r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    sides = [known.where(F.col("toxic") == y).orderBy(F.xxhash64(doc_id), doc_id).limit(rows) for y in (0, 1)]
-    chosen = F.broadcast(sides[0].unionAll(sides[1]))
+    own = F.coalesce(F.col(text).cast("string"), F.lit(""))
     language = F.col(lang) if lang in docs.columns else F.lit(None).cast("string")
-    picked = docs.select(doc_id, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), language.alias("_lang")).join(chosen, doc_id)
-    found = picked.where(F.length("_text") <= SAMPLE_CHARS).select("_text", "_lang", "toxic", F.xxhash64(doc_id).alias("_order"), doc_id).toPandas().sort_values(["_order", doc_id])
+    short = docs.where(F.length(own) <= SAMPLE_CHARS)
+    # Which ids are fit to be chosen is settled before any text is read: ids have a short text and a label.
+    fit_ids = known.join(short.select(doc_id), doc_id, "left_semi")
+    sides = [fit_ids.where(F.col("toxic") == y).orderBy(F.xxhash64(doc_id), doc_id).limit(rows) for y in (0, 1)]
+    chosen = F.broadcast(sides[0].unionAll(sides[1]))
+    picked = short.select(doc_id, F.struct(F.xxhash64(own).alias("h"), own.alias("text"), language.alias("lang")).alias("row")).join(chosen, doc_id)
+    one = picked.groupBy(doc_id, "toxic").agg(F.min("row").alias("row"))
+    found = one.select(F.col("row.text").alias("_text"), F.col("row.lang").alias("_lang"), "toxic", F.xxhash64(doc_id).alias("_order"), doc_id).toPandas().sort_values(["_order", doc_id])
     total = sum(count.values())
     return fit(found["_text"].tolist(), found["toxic"].to_numpy(), found["_lang"].tolist(), count.get(True, 0) / total if total else 0.0)
 
