@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from thicket import cli
 from thicket.functions.text import canonical_url, u64
-from thicket.operators import nodes as N, order, scc, validate
+from thicket.operators import groups as grouping, nodes as N, order, scc, validate
 from thicket.operators.groups import join_groups, numbered
 from thicket.plans.normalize import normalize
 from thicket.sources import documents as D
@@ -184,7 +184,7 @@ def test_a_long_chain_ends_in_few_rounds(spark, monkeypatch):
     assert rounds.count("scc-bridge") <= 20
 
 
-def test_places_and_joins_in_large_groups(spark):
+def test_places_and_joins_in_large_groups(spark, monkeypatch):
     rng = random.Random(2)
     data = [(rng.choice([None, "a", "a", "a", "b"]), rng.choice([None, 1, 2, 3]), i) for i in range(400)]
     rows = spark.createDataFrame(data, "g string, o int, i int").repartition(7)
@@ -194,9 +194,11 @@ def test_places_and_joins_in_large_groups(spark):
     assert place["window"] == place["ranges"] and len(place["window"]) == 400
     known = rows.where("g is not null")
     groups = known.groupBy("g", "o").agg(F.count("*").alias("n"), F.sum("i").alias("s")).where("o is not null")
-    got = sorted(tuple(r) for r in join_groups(known.select("g", "o", "i"), groups, ["g", "o"], "n").collect())
     want = sorted(tuple(r) for r in known.select("g", "o", "i").join(groups, ["g", "o"]).collect())
-    assert got == want
+    for few, share in ((100, 1000), (0, 3), (0, 1000), (0, 1)):
+        monkeypatch.setattr(grouping, "FEW", few)
+        monkeypatch.setattr(grouping, "SHARE", share)
+        assert sorted(tuple(r) for r in join_groups(known.select("g", "o", "i"), groups, ["g", "o"], "n").collect()) == want
 
 
 @pytest.mark.parametrize("n", [3, 300])

@@ -10,6 +10,8 @@ from thicket.plans.staging import staged
 
 #: Groups with more than one row in so many are joined by broadcast: there can't be more of them than this.
 SHARE = 1000
+#: Groups, of a few hundred bytes each, that are broadcast whatever their sizes.
+FEW = 10_000
 #: Rows of the largest group up to which one task numbers each group.
 WINDOW_ROWS = 1_000_000
 
@@ -18,10 +20,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str)
     """``rows`` joined to their groups, one row of ``groups`` (a table) for each value of ``keys``, whose column
     ``size`` counts the rows of the group. Keys aren't null.
 
-    The groups with more than 1/SHARE of all rows, SHARE at most, are broadcast; the others are shuffled, and
-    none of them is more than 1/SHARE of what is shuffled.
+    Up to FEW groups are broadcast. Of more, those with more than 1/SHARE of all rows, SHARE at most, are broadcast
+    and the others shuffled: none of these is more than 1/SHARE of what is shuffled.
     """
-    total = groups.agg(F.sum(size).alias("n")).first()["n"] or 0
+    n, total, most = groups.agg(F.count("*"), F.sum(size), F.max(size)).first()
+    if n <= FEW:
+        return rows.join(F.broadcast(groups), keys)
+    if most * SHARE <= total:
+        return rows.join(groups, keys)
     large = F.col(size) * SHARE > total
     hot = F.broadcast(groups.where(large))
     cold = rows.join(F.broadcast(groups.where(large).select(*keys)), keys, "left_anti").join(groups.where(~large), keys)
