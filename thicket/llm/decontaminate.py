@@ -105,17 +105,18 @@ def phrase_matches(index: DataFrame, tests: TestSet, width: int = 10) -> tuple[D
     many = windows.count()
     anchors = windows.select("item", F.explode(F.array("first", "second")).alias("a")).select("item", F.col("a.term").alias("term"), F.col("a.at").alias("place")).distinct()
     near = index.join(_small(anchors, 2 * many), "term").groupBy("row", "doc", "item", (F.col("at") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("places"))
-    own = windows.groupBy("item").agg(F.collect_list(F.struct("start", "size", F.col("first.at").alias("a"), F.col("second.at").alias("b"))).alias("windows"))
-    left = near.join(_small(own, many), "item").withColumn("windows", F.filter("windows", lambda w: F.array_contains("places", w["a"]) & F.array_contains("places", w["b"])))
-    spans = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w["start"], w["start"] + w["size"] - 1))))
-    left, at2 = written(left.where(F.size("windows") > 0).select("row", "doc", "item", "shift", spans.alias("places")), "alignments")
+    # A place that was met brings only the windows whose rarest term it is.
+    own = windows.select("item", "start", "size", F.col("first.at").alias("met"), F.col("second.at").alias("too"))
+    left = near.withColumn("met", F.explode("places")).join(_small(own, many), ["item", "met"]).where(F.array_contains("places", F.col("too")))
+    span = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1))
+    left, at2 = written(left.select("row", "doc", "item", "shift", span.alias("place")).distinct(), "alignments")
     wanted_rows = left.select("row").distinct()
     n_rows = wanted_rows.count()
     postings = index.where(F.col("term") != END).select("row", "term", "at")
     if n_rows <= MOST_BROADCAST:
         postings = postings.join(F.broadcast(wanted_rows), "row", "left_semi")
     terms = tests.positions.select("item", F.col("at").alias("place"), "term", "length")
-    need = left.select("row", "doc", "item", "shift", F.explode("places").alias("place")).join(_small(terms, tests.n_positions), ["item", "place"])
+    need = left.join(_small(terms, tests.n_positions), ["item", "place"])
     need = need.withColumn("at", F.col("shift") + F.col("place"))
     met = need.join(postings, ["row", "at", "term"], "left_semi")
     by = Window.partitionBy("row", "item", "shift").orderBy("place")
