@@ -6,6 +6,8 @@ import hashlib
 import random
 import re
 import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -115,6 +117,16 @@ def test_id_files(n, kind):
         assert len(data) < n
 
 
+def test_hashes_do_not_depend_on_what_was_hashed_before(monkeypatch):
+    one = np.array([ord("a")], np.uint32)
+    spans = np.array([0]), np.array([1])
+    later = K.hash_spans(one, *spans)
+    monkeypatch.setattr(K, "_powers", type(K._powers)((0,), K._powers.dtype))
+    assert K.hash_spans(one, *spans) == later
+    fresh = subprocess.run([sys.executable, "-c", "import numpy as np\nfrom thicket.llm import textkit as K\nprint(K.hash_spans(np.array([97], np.uint32), np.array([0]), np.array([1]))[0])"], capture_output=True, text=True, check=True)
+    assert int(fresh.stdout) == int(later[0])
+
+
 def test_ids_of_all_sizes_and_uneven_blocks():
     rng = np.random.default_rng(3)
     for n in (idcoder.SHORT * 3 + 1, idcoder.BLOCK * 7 - 3):

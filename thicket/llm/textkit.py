@@ -28,7 +28,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.ones(1, np.uint64)
+_powers = np.empty(0, np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
