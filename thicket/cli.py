@@ -12,6 +12,7 @@ from thicket.operators.events import write_events
 from thicket.operators.order import registry_report
 from thicket.operators.validate import first_violation
 from thicket.plans.normalize import normalize
+from thicket.plans.staging import send_modules
 from thicket.sources import documents as D
 
 
@@ -39,6 +40,7 @@ def _checked(spark: SparkSession, source: str):
 
 def run(spark: SparkSession, args: list[str]) -> int:
     given = parser().parse_args(args)
+    send_modules(spark)
     if given.command == "validate":
         docs = _checked(spark, given.source)
         nodes = D.flatten(docs).withColumns({"new_parent": F.col("parent_id"), "position": F.col("child_pos")})

@@ -12,7 +12,7 @@ from thicket.functions.text import canonical_url as canonical, u64
 from thicket.operators.groups import numbered
 from thicket.operators import dedup, merge, nodes as N, order, prune, scc, validate
 from thicket.plans.normalize import normalize
-from thicket.plans.staging import shared_root, staged
+from thicket.plans.staging import send_modules, shared_root, staged
 from thicket.sources import derived, documents as D
 from thicket.sources.derived import functional_graph
 
@@ -238,7 +238,14 @@ _ALL = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _ALL}
+    def sent(query: Callable) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            send_modules(spark)
+            return query(spark, sf_dir)
+
+        return run
+
+    return {f.__name__: sent(f) for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
@@ -12,6 +14,24 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_sent: set[str] = set()
+
+
+def send_modules(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application: theirs may lack its path. To be called before
+    a plan with Python functions is built."""
+    context = spark.sparkContext
+    if context.applicationId in _sent:
+        return
+    _sent.add(context.applicationId)
+    package = Path(__file__).resolve().parent.parent
+    at = tempfile.mkdtemp(prefix="package-")
+    atexit.register(shutil.rmtree, at, True)
+    file = Path(at) / f"{package.name}-package.zip"
+    with zipfile.ZipFile(file, "w") as out:
+        for module in sorted(package.rglob("*.py")):
+            out.write(module, module.relative_to(package.parent))
+    context.addPyFile(str(file))
 
 
 def shared_root(spark: SparkSession) -> str:

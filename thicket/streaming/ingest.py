@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from thicket.plans.normalize import normalize
-from thicket.plans.staging import scope
+from thicket.plans.staging import scope, send_modules
 from thicket.sources.documents import flatten, nest
 
 
 def normalize_stream(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
     """Watch ``source`` for JSON files and append (doc_id, text, batch) to the Parquet table ``target``. A batch
     that runs again after a failure replaces its own partition."""
+    send_modules(spark)
     files = spark.readStream.format("text").option("wholetext", True).schema("value string").load(source)
     docs = files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
